@@ -129,15 +129,15 @@ class Words:
     first: np.ndarray
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    """Maximal runs of bytes other than space and 0x09-0x0D, A-Z lower-cased, never across texts."""
+def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, separators: np.ndarray = _SPACE) -> Words:
+    """Maximal runs of bytes that are no separators (by default space and 0x09-0x0D), A-Z lower-cased, never across texts."""
     base, data = int(offsets[0]), data[int(offsets[0]) : int(offsets[-1])]
     edge = (offsets - base).astype(np.int64)
     data = _LOWER[data] if lower else data
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, none.astype(np.uint64), np.zeros(len(offsets), np.int64))
-    space = _SPACE[data]
+    space = separators[data]
     begins, ends = ~space, ~space
     begins[1:] &= space[:-1]
     ends[:-1] &= space[1:]

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
+from .minhash import op6_minhash
+from .quality import op8_quality
 from .secrets import op2_secrets
+from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
+    "op4_toxicity": op4_toxicity,
+    "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
 }
 
