@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op10_ann
 from .bpe import op7_bpe
 from .minhash import op6_minhash
 from .quality import op8_quality
@@ -17,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
+    "op10_ann": op10_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {}
