@@ -116,7 +116,8 @@ def window_logits(t: dict[str, np.ndarray], ids: np.ndarray, chars: np.ndarray,
     states = []
     for d in "fb":
         if len(ids):
-            gates = (t[f"word_{d}"][ids] + chars @ t[f"char_{d}"])[at]
+            gates = t[f"word_{d}"][ids[at]]
+            gates += (chars @ t[f"char_{d}"])[at]
         else:
             gates = np.zeros((*at.shape, 3 * HIDDEN), np.float32)
         states.append(_direction(gates, there, t[f"rec_{d}"], d == "b"))
@@ -124,6 +125,17 @@ def window_logits(t: dict[str, np.ndarray], ids: np.ndarray, chars: np.ndarray,
     return pooled @ t["out"] + t["shift"]
 
 
+def all_logits(t: dict[str, np.ndarray], ids: np.ndarray, chars: np.ndarray, at: np.ndarray, there: np.ndarray, most: int = 4096) -> np.ndarray:
+    """Of any number of windows, a bounded number at a time; windows are in the order of their words."""
+    out = []
+    for w in range(0, at.shape[1], most):
+        own, on = at[:, w : w + most], there[:, w : w + most]
+        low, high = int(own[0].min()), int(own.max()) + 1
+        low = min(low, int(own[on].min())) if on.any() else 0
+        out.append(window_logits(t, ids[low:high], chars[low:high], np.where(on, own - low, 0), on))
+    return np.concatenate(out)
+
+
 def _gradients(p: dict[str, np.ndarray], ids: np.ndarray, chars: np.ndarray, words: Words, at: np.ndarray, there: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean cross-entropy of the given windows, one for each text."""
     x = np.hstack([p["word"][ids], chars]) if len(ids) else np.zeros((1, WORD + CHAR))
@@ -207,7 +219,7 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Net:
     at, there, begin = windows(words.first)
     for epoch in range(EPOCHS):
         # the most toxic window of each text, by the net as it stands
-        logits = window_logits(net.tables(), ids, char_means(p["char"].astype(np.float32), words), at, there)
+        logits = all_logits(net.tables(), ids, char_means(p["char"].astype(np.float32), words), at, there)
         best = np.array([b + np.argmax(logits[b:e]) for b, e in zip(begin, [*begin[1:], len(logits)], strict=True)])
         chars = char_means(p["char"], words)  # as of the epoch's start
         order = rng.permutation(len(y))
@@ -232,7 +244,7 @@ def score_texts(net: Net, tables: dict[str, np.ndarray], data: np.ndarray, offse
         words = words_of(data, offsets[a : b + 1])
         at, there, begin = windows(words.first)
         ids, chars = ids_of(net.vocabulary, words), char_means(tables["char"], words)
-        logits = np.concatenate([window_logits(tables, ids, chars, at[:, w : w + 8192], there[:, w : w + 8192]) for w in range(0, at.shape[1], 8192)])
+        logits = all_logits(tables, ids, chars, at, there)
         out[a:b] = _sigmoid(np.maximum.reduceat(logits, begin).astype(np.float64))
     return out
 
