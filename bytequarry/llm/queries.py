@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op10_ann
 from .bpe import op7_bpe
+from .decontaminate import op9_decontaminate
+from .lm import ORACLE as LM_SQL
+from .lm import op5_lm_score
 from .minhash import op6_minhash
 from .quality import op8_quality
 from .secrets import op2_secrets
@@ -16,10 +19,12 @@ from .toxicity import op4_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op4_toxicity": op4_toxicity,
+    "op5_lm_score": op5_lm_score,
     "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
+    "op9_decontaminate": op9_decontaminate,
     "op10_ann": op10_ann,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_lm_score": LM_SQL}
