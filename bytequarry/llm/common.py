@@ -10,7 +10,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 """Texts are worked on in slices of about this many bytes, so that a worker's memory does not depend on the batch size."""
@@ -157,3 +161,78 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         out = out * np.uint64(0x9E3779B97F4A7C15) + mix64(words[j : j + m] + np.uint64(j + 1))
     return mix64(out)
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Unsigned numbers as byte planes of the least width, compressed."""
+    x = x.astype("<u8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_numbers(b: bytes) -> np.ndarray:
+    width = b[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack_numbers(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack_numbers(b), dtype=np.uint64)
+
+
+def part_bounds(sorted_hashes: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Where each of so many equal ranges of bits-wide hashes begins."""
+    return np.searchsorted(sorted_hashes, np.array([(p << bits) // parts for p in range(parts + 1)], np.uint64))
+
+
+def _pack_chunks(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size, serial = TaskContext.get().partitionId(), [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            one = pa.Table.from_batches(held)
+            one = one.take(pa.compute.sort_indices(one.column(0), null_placement="at_end")).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, one.schema) as writer:
+                writer.write_table(one)
+            blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+            return pa.RecordBatch.from_arrays([pa.array([part << 24 | serial], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "blob"])
+
+        for batch in batches:
+            offsets = string_buffers(batch.column(1))[1]
+            at = 0
+            while at < batch.num_rows:
+                end = int(np.searchsorted(offsets, offsets[at] + max(1, limit - size), "right")) - 1
+                end = min(max(end, at + (not held)), batch.num_rows)
+                if end > at:
+                    held.append(batch.slice(at, end - at))
+                    size += int(offsets[end] - offsets[at])
+                    at = end
+                if at < batch.num_rows or size >= limit:
+                    yield out()
+                    held, size, serial = [], 0, serial + 1
+        if held:
+            yield out()
+
+    return run
+
+
+def chunks(df: DataFrame, id_col: str, text_col: str, limit: int, tag: str) -> DataFrame:
+    """(chunk, blob): the rows in compressed chunks of about limit bytes of text, by id within a chunk (null last), spooled."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("content"))
+    return spool(rows.mapInArrow(_pack_chunks(limit), "chunk bigint, blob binary"), tag)
+
+
+def open_chunk(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids, bytes and offsets of a chunk."""
+    one = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().combine_chunks()
+    ids = one.column(0)
+    ids = ids.chunk(0) if ids.num_chunks else pa.array([], pa.int64())
+    return ids, *string_buffers(one.column(1))

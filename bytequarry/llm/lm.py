@@ -24,8 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,30 +36,6 @@ HASH_BITS = 56
 """An unseen n-gram is taken for another one with probability (distinct n-grams) / 2**56."""
 
 
-def pack_numbers(x: np.ndarray) -> bytes:
-    """Unsigned numbers as byte planes of the least width, compressed."""
-    x = x.astype("<u8")
-    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack_numbers(b: bytes) -> np.ndarray:
-    width = b[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.view("<u8").ravel()
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    return pack_numbers(np.diff(x, prepend=np.uint64(0)))
-
-
-def unpack_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack_numbers(b), dtype=np.uint64)
-
-
 def ngrams(words: common.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the n-gram that ends at each word, and which words have one within their text."""
     m = len(words.hash)
@@ -73,50 +47,18 @@ def ngrams(words: common.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, whole
 
 
-def _chunks(limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        part, held, size, serial = context.partitionId(), [], 0, 0
-
-        def out() -> pa.RecordBatch:
-            one = pa.Table.from_batches(held).combine_chunks()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, one.schema) as writer:
-                writer.write_table(one)
-            blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
-            data, offsets = common.string_buffers(one.column(1))
-            n = sum(len(common.split_words(data, offsets[a : b + 1]).start) for a, b in common.slices(offsets))
-            return pa.RecordBatch.from_arrays([pa.array([part << 24 | serial], pa.int64()), pa.array([n], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "n_words", "blob"])
-
-        for batch in batches:
-            offsets = common.string_buffers(batch.column(1))[1]
-            at = 0
-            while at < batch.num_rows:
-                end = int(np.searchsorted(offsets, offsets[at] + max(1, limit - size), "right")) - 1
-                end = min(max(end, at + (not held)), batch.num_rows)
-                if end > at:
-                    held.append(batch.slice(at, end - at))
-                    size += int(offsets[end] - offsets[at])
-                    at = end
-                if at < batch.num_rows or size >= limit:
-                    yield out()
-                    held, size, serial = [], 0, serial + 1
-        if held:
-            yield out()
-
-    return run
+def _bounds(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
+    return common.part_bounds(sorted_hashes, parts, HASH_BITS)
 
 
 def _open(blob: bytes) -> tuple[pa.Array, common.Words]:
-    one = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().combine_chunks()
-    data, offsets = common.string_buffers(one.column(1))
-    return one.column(0), common.split_words(data, offsets)
+    ids, data, offsets = common.open_chunk(blob)
+    return ids, common.split_words(data, offsets)
 
 
-def _bounds(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Where each hash partition, a range of hashes, begins."""
-    edges = np.array([(p << HASH_BITS) // parts for p in range(parts + 1)], np.uint64)
-    return np.searchsorted(sorted_hashes, edges)
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([len(_open(b.as_py())[1].start) for b in batch.column("blob")], pa.int64())], ["n_words"])
 
 
 def _send(parts: int):
@@ -134,8 +76,8 @@ def _send(parts: int):
                             pa.array(np.full(len(some), order, np.int32)),
                             pa.array(some.astype(np.int32)),
                             pa.array(np.full(len(some), chunk, np.int64)),
-                            pa.array([pack_sorted(own[edge[p] : edge[p + 1]]) for p in some], pa.binary()),
-                            pa.array([pack_numbers(count[edge[p] : edge[p + 1]]) for p in some], pa.binary()),
+                            pa.array([common.pack_sorted(own[edge[p] : edge[p + 1]]) for p in some], pa.binary()),
+                            pa.array([common.pack_numbers(count[edge[p] : edge[p + 1]]) for p in some], pa.binary()),
                         ],
                         ["order", "part", "chunk", "hashes", "counts"],
                     )
@@ -146,13 +88,13 @@ def _send(parts: int):
 def _count(rows: pa.Table) -> pa.Table:
     """The count table of one partition of one order, joined to the chunks that asked."""
     order = rows.column("order")[0].as_py()
-    asked = [unpack_sorted(x.as_py()) for x in rows.column("hashes")]
+    asked = [common.unpack_sorted(x.as_py()) for x in rows.column("hashes")]
     own, place = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(place, np.concatenate([unpack_numbers(x.as_py()) for x in rows.column("counts")]).astype(np.float64), len(own))
+    total = np.bincount(place, np.concatenate([common.unpack_numbers(x.as_py()) for x in rows.column("counts")]).astype(np.float64), len(own))
     if order > 1:
         total[total < MIN_COUNT] = 0
     back = np.split(total[place].astype(np.uint64), np.cumsum([len(x) for x in asked])[:-1])
-    return pa.Table.from_arrays([rows.column("order"), rows.column("part"), rows.column("chunk"), pa.array([pack_numbers(x) for x in back], pa.binary())], ["order", "part", "chunk", "counts"])
+    return pa.Table.from_arrays([rows.column("order"), rows.column("part"), rows.column("chunk"), pa.array([common.pack_numbers(x) for x in back], pa.binary())], ["order", "part", "chunk", "counts"])
 
 
 def _score(n_all: int):
@@ -170,7 +112,7 @@ def _score(n_all: int):
                 h, has[order] = ngrams(words, order)
                 c[order] = np.zeros(len(h))
                 if has[order].any():
-                    counts = np.concatenate([unpack_numbers(x.as_py()) for _, x in sorted(by_order[order], key=lambda x: x[0])])
+                    counts = np.concatenate([common.unpack_numbers(x.as_py()) for _, x in sorted(by_order[order], key=lambda x: x[0])])
                     c[order][has[order]] = counts[np.unique(h[has[order]], return_inverse=True)[1]]
             m = len(words.hash)
             log = np.log(c[1] / n_all) if m else np.zeros(0)
@@ -182,7 +124,7 @@ def _score(n_all: int):
             per = np.diff(words.first)
             # sums of their own for each document, so that a long chunk costs no accuracy
             sums = np.add.reduceat(np.concatenate([log, [0.0]]), words.first[:-1]) if m else np.zeros(len(per))
-            ids.append(own_ids.combine_chunks() if isinstance(own_ids, pa.ChunkedArray) else own_ids)
+            ids.append(own_ids)
             n_words.append(per)
             scores.append(np.where(per > 0, sums, 0.0))
         if not ids:
@@ -197,13 +139,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. Null and empty texts have no words and score 0.
     Repeated rows count as often as they occur and are each scored; ids are carried along only."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content"))
-    chunks = common.spool(rows.mapInArrow(_chunks(CHUNK_BYTES), "chunk bigint, n_words bigint, blob binary"), "lm-chunks")
-    n_all = chunks.agg(F.sum("n_words")).first()[0] or 0
+    chunks = common.chunks(docs, id_col, text_col, CHUNK_BYTES, "lm-chunks")
+    n_all = chunks.select("blob").mapInArrow(_words, "n_words bigint").agg(F.sum("n_words")).first()[0] or 0
     parts = max(1, -(-n_all // PARTITION_WORDS))
-    sent = chunks.select("chunk", "blob").mapInArrow(_send(parts), "order int, part int, chunk bigint, hashes binary, counts binary")
+    sent = chunks.mapInArrow(_send(parts), "order int, part int, chunk bigint, hashes binary, counts binary")
     answers = sent.groupBy("order", "part").applyInArrow(_count, "order int, part int, chunk bigint, counts binary")
-    return chunks.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(n_all), "id bigint, n_words bigint, log_score double")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(n_all), "id bigint, n_words bigint, log_score double")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ HIDDEN, WORD, CHAR = 8, 6, 4
 LEAST_DOCS, MOST_WORDS = 3, 20_000
 """Words of the vocabulary: those in so many fitted texts at least, so many at most (the most frequent)."""
 EPOCHS, BATCH, RATE = 12, 64, 0.01
+SLICE = 1 << 19
+"""Bytes of text worked on at a time."""
 
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -48,7 +50,17 @@ class Net:
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    return common.split_words(data, offsets, separators=SEPARATORS)
+    """Words of all texts, split a slice at a time so that the hashes of a large sample need little memory."""
+    parts, at, n = [], 0, 0
+    for a, b in common.slices(offsets, SLICE):
+        w = common.split_words(data, offsets[a : b + 1], separators=SEPARATORS)
+        parts.append((w.data, w.start + at, w.end + at, w.hash, w.first[:-1] + n))
+        at += len(w.data)
+        n += len(w.start)
+    if not parts:
+        return common.split_words(data, offsets, separators=SEPARATORS)
+    joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    return Words(*joined[:4], np.append(joined[4], n))
 
 
 def ids_of(vocabulary: np.ndarray, words: Words) -> np.ndarray:
@@ -58,13 +70,16 @@ def ids_of(vocabulary: np.ndarray, words: Words) -> np.ndarray:
     return np.where(vocabulary[at] == words.hash, at + 1, 0)
 
 
-def char_means(char: np.ndarray, words: Words) -> np.ndarray:
-    if not len(words.start):
-        return np.zeros((0, char.shape[1]), char.dtype)
-    edges = np.empty(2 * len(words.start), np.int64)
-    edges[::2], edges[1::2] = words.start, words.end
-    sums = np.add.reduceat(np.vstack([char[words.data], np.zeros((1, char.shape[1]), char.dtype)]), edges, axis=0)[::2]
-    return sums / (words.end - words.start)[:, None].astype(char.dtype)
+def char_means(char: np.ndarray, words: Words, most: int = 50_000) -> np.ndarray:
+    """Mean of the byte vectors of each word, so many words at a time."""
+    out = np.zeros((len(words.start), char.shape[1]), char.dtype)
+    for a in range(0, len(out), most):
+        start, end = words.start[a : a + most], words.end[a : a + most]
+        edges = np.empty(2 * len(start), np.int64)
+        edges[::2], edges[1::2] = start - start[0], end - start[0]
+        vectors = char[np.append(words.data[start[0] : end[-1]], 0)]
+        out[a : a + most] = np.add.reduceat(vectors, edges, axis=0)[::2] / (end - start)[:, None].astype(char.dtype)
+    return out
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,9 +250,6 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Net:
     return net
 
 
-SLICE = 1 << 19
-
-
 def score_texts(net: Net, tables: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros(len(offsets) - 1)
     for a, b in common.slices(offsets, SLICE):
