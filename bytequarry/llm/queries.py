@@ -14,9 +14,11 @@ from .lm import op5_lm_score
 from .minhash import op6_minhash
 from .quality import op8_quality
 from .secrets import op2_secrets
+from .suffix import op1_suffix_dedup
 from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secrets": op2_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_lm_score": op5_lm_score,
