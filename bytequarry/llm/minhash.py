@@ -6,9 +6,13 @@ shingle costs one contiguous read of K numbers.
 
 Documents with equal shingle sets form a class first (a grouping by a 128-bit set digest) and one of each class goes on.
 Classes that share a band are candidates. Pairs are never expanded within a bucket: each bucket names a leader, members are
-verified against it on the full sets, components are formed, and a bucket whose members lie in one component is done. Two
-rounds with different leaders settle the large families; the pairs of what is left, across components only, are verified
-one by one, so no link that the bands propose is lost.
+verified against it on the full sets, components are formed, and a bucket whose members lie in one component is done.
+
+What is left are families that lie around a leader without being linked to it. They are written as differences to the
+leader's set. The symmetric difference of two members is that of their differences, so their exact similarity follows from
+how many differing shingles they share; an inverted index over these, which are few and mostly rare, finds every linked
+pair of a family without forming the others. A pair that shares no differing shingle is either far apart or, by the
+triangle inequality, linked to the leader on both sides. Large families are dealt out in blocks that meet pairwise.
 
 With 32 bands of 5 rows a pair at the threshold 0.85 is missed with probability 1e-8, one at 0.8 with 4e-6.
 """
@@ -29,6 +33,8 @@ UNIVERSE = 1 << 20
 BANDS, ROWS = 32, 5
 K = BANDS * ROWS
 SEED = 5
+FAMILY = 4_000_000
+"""Differing shingles in a block of a family."""
 _TABLE: dict[int, np.ndarray] = {}
 
 
@@ -118,6 +124,62 @@ def _verify(n: int, above: int, below: int):
     return run
 
 
+def _differences(n: int):
+    """From (a, leader, component, text_a, text_leader) the size of a's set and its symmetric difference to the leader's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, differs, many = [], [], []
+            for a, b in zip(shingle_sets(batch.column(3), n), shingle_sets(batch.column(4), n), strict=True):
+                d = np.setxor1d(a, b, assume_unique=True)
+                size.append(len(a))
+                many.append(len(d))
+                differs.append(d.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int64()), pa.array(many, pa.int64()), pa.array(differs, pa.binary())], ["a", "leader", "component", "size", "many", "differs"])
+
+    return run
+
+
+def family_links(size: np.ndarray, differs: list[np.ndarray], component: np.ndarray, block: np.ndarray, across: bool, threshold: Fraction) -> list[tuple[int, int]]:
+    """Pairs (i, j), j < i, of members in different components whose sets are as similar as the threshold.
+
+    differs are symmetric differences to one common set. With across, only pairs of members of different blocks count."""
+    many = np.array([len(d) for d in differs], np.int64)
+    owner = np.repeat(np.arange(len(differs)), many)
+    flat = np.concatenate(differs) if differs else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    owner_by = owner[order]
+    index = np.empty(len(flat), np.int64)
+    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]]) if len(flat) else np.zeros(0, bool)
+    index[order] = np.cumsum(new) - 1
+    edge = np.append(np.flatnonzero(new), len(flat))
+    at, out = 0, []
+    above, below = threshold.numerator, threshold.denominator
+    for i in range(len(differs)):
+        own = index[at : at + many[i]]
+        at += many[i]
+        own = own[edge[own + 1] - edge[own] > 1]
+        if not len(own) or not i:
+            continue
+        both = np.bincount(np.concatenate([owner_by[edge[e] : edge[e + 1]] for e in own.tolist()]), minlength=len(differs))[:i]
+        common_size = (size[i] + size[:i] - (many[i] + many[:i] - 2 * both)) // 2
+        linked = (both > 0) & (common_size > 0) & (below * common_size >= above * (size[i] + size[:i] - common_size)) & (component[:i] != component[i])
+        if across:
+            linked &= block[:i] != block[i]
+        out += [(i, j) for j in np.flatnonzero(linked).tolist()]
+    return out
+
+
+def _families(threshold: Fraction):
+    def run(rows: pa.Table) -> pa.Table:
+        ids, size, component, block = (rows.column(x).to_numpy() for x in ("a", "size", "component", "block"))
+        differs = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("differs")]
+        pairs = family_links(size, differs, component, block, rows.column("low")[0].as_py() != rows.column("high")[0].as_py(), threshold)
+        return pa.Table.from_arrays([pa.array([int(max(ids[i], ids[j])) for i, j in pairs], pa.int64()), pa.array([int(min(ids[i], ids[j])) for i, j in pairs], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     """Of pairs (a, b) those whose sets are as similar as the threshold; texts has (id, content), one row for an id."""
     left = texts.select(F.col("id").alias("a"), F.col("content").alias("text_a"))
@@ -145,26 +207,24 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     # The texts that any pair can need, one for each id.
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content"))
     texts = common.spool(texts.join(weighed.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
-    links = None
     # A class whose copies carry several ids links them all to the class's first.
     copies = member.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    for turn in ("first", "second", "rest"):
-        if links is None:
-            placed = weighed.withColumn("component", F.col("rep"))
-        else:
-            found = graph.components(links.filter("a <> b"), "minhash-components")
-            placed = weighed.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", -F.col("rep"), "component")).alias("lead"), F.max_by("rep", F.xxhash64("rep")).alias("other"), F.max_by("component", F.xxhash64("rep")).alias("other_component")).filter("low <> high")
-        if turn == "rest":
-            left = common.spool(placed.join(open_keys.select("key"), "key", "left_semi").select("key", "rep", "component"), "minhash-rest")
-            right = left.select("key", F.col("rep").alias("b"), F.col("component").alias("component_b"))
-            pairs = left.withColumnRenamed("rep", "a").join(right, "key").filter("a > b and component <> component_b").select("a", "b")
-        else:
-            led = open_keys.select("key", *([(-F.col("lead.col2")).alias("b"), F.col("lead.component").alias("own")] if turn == "first" else [F.col("other").alias("b"), F.col("other_component").alias("own")]))
-            pairs = placed.join(led, "key").filter("rep <> b and component <> own").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b"))
-        new = common.spool(verified(pairs.distinct(), texts, n, threshold), "minhash-links")
-        links = new if links is None else links.union(new)
-    joined = graph.components(links.union(copies), "minhash-components")
+    lead = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("lead")).select("key", (-F.col("lead.minus")).alias("leader"))
+    led = common.spool(weighed.select("key", "rep").join(lead, "key"), "minhash-led")
+    stars = led.filter("rep <> leader").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
+    links = common.spool(verified(stars, texts, n, threshold), "minhash-links")
+    found = graph.components(links, "minhash-components")
+    placed = led.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    unsettled = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    members = placed.join(unsettled, "key", "left_semi").filter("rep <> leader").select(F.col("rep").alias("a"), "leader", "component").distinct()
+    own, leaders = texts.select(F.col("id").alias("a"), F.col("content").alias("text_a")), texts.select(F.col("id").alias("leader"), F.col("content").alias("text_leader"))
+    families = members.join(leaders, "leader").join(own, "a").select("a", "leader", "component", "text_a", "text_leader")
+    families = common.spool(families.mapInArrow(_differences(n), "a bigint, leader bigint, component bigint, size bigint, many bigint, differs binary"), "minhash-families")
+    blocks = families.groupBy("leader").agg(F.ceil(F.sum("many") / FAMILY).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    dealt = families.join(blocks, "leader").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("leader", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "a", "size", "component", "block", "differs")
+    more = common.spool(dealt.groupBy("leader", "low", "high").applyInArrow(_families(threshold), "a bigint, b bigint").distinct(), "minhash-more")
+    joined = graph.components(links.union(more).union(copies), "minhash-components")
     return rows.select("id", "n_shingles").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
