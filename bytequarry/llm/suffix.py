@@ -174,7 +174,9 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """All stretches of the texts, in order of place: gram hash, stretch hash, first and last string, anchor."""
+    """All stretches of the texts, in order of place: gram hash, stretch hash, first and last string, anchor.
+
+    The gram hash is mixed again, as anchors are least hashes and would crowd the first partitions."""
     parts = []
     for a, b in common.slices(offsets, 1 << 19):
         base, end = int(offsets[a]), int(offsets[b])
@@ -202,7 +204,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         last = start[np.append(np.flatnonzero(new)[1:], len(start)) - 1]
         at = at[new]
         whole_hash = common.mix64(common.span_hash(prefix, first, last + LEAST) + (at - first).astype(np.uint64))
-        parts.append((gram[at] >> np.uint64(64 - BITS), whole_hash >> np.uint64(16), first + base, last + base, at + base))
+        parts.append((common.mix64(gram[at]) >> np.uint64(64 - BITS), whole_hash >> np.uint64(16), first + base, last + base, at + base))
     none = np.zeros(0, np.int64)
     columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [none.astype(np.uint64), none.astype(np.uint64), none, none, none]
     return dict(zip(("gram", "whole", "first", "last", "at"), columns, strict=True))
