@@ -152,6 +152,20 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, separ
     return Words(data, start, end, span_hash(prefix_hash(data), start, end), np.searchsorted(start, edge))
 
 
+def split_sliced(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE, limit: int = 1 << 20) -> Words:
+    """split_words a slice at a time, so that hashing many texts needs little memory."""
+    parts, at, n = [], 0, 0
+    for a, b in slices(offsets, limit):
+        w = split_words(data, offsets[a : b + 1], separators=separators)
+        parts.append((w.data, w.start + at, w.end + at, w.hash, w.first[:-1] + n))
+        at += len(w.data)
+        n += len(w.start)
+    if not parts:
+        return split_words(data, offsets, separators=separators)
+    joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    return Words(*joined[:4], np.append(joined[4], n))
+
+
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n word hashes."""
     m = len(words) - n + 1
@@ -188,8 +202,9 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 
 
 def part_bounds(sorted_hashes: np.ndarray, parts: int, bits: int) -> np.ndarray:
-    """Where each of so many equal ranges of bits-wide hashes begins."""
-    return np.searchsorted(sorted_hashes, np.array([(p << bits) // parts for p in range(parts + 1)], np.uint64))
+    """Where each of so many equal ranges of bits-wide hashes begins, and the end."""
+    inner = np.searchsorted(sorted_hashes, np.array([(p << bits) // parts for p in range(1, parts)], np.uint64))
+    return np.concatenate([[0], inner, [len(sorted_hashes)]])
 
 
 def _pack_chunks(limit: int):

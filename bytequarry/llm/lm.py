@@ -32,28 +32,28 @@ from . import common
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 CHUNK_BYTES = 8 << 20
 PARTITION_WORDS = 2_500_000
-HASH_BITS = 56
-"""An unseen n-gram is taken for another one with probability (distinct n-grams) / 2**56."""
+MARGIN_BITS = 20
+"""n-gram hashes have so many bits more than the number of words: two n-grams share one with probability 2**-20 at most."""
 
 
-def ngrams(words: common.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+def hash_bits(n_words: int) -> int:
+    return min(63, n_words.bit_length() + MARGIN_BITS)
+
+
+def ngrams(words: common.Words, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the n-gram that ends at each word, and which words have one within their text."""
     m = len(words.hash)
     out, whole = np.zeros(m, np.uint64), np.zeros(m, bool)
     if m >= n:
-        out[n - 1 :] = common.shingle_hashes(words.hash, n) >> np.uint64(64 - HASH_BITS)
+        out[n - 1 :] = common.shingle_hashes(words.hash, n) >> np.uint64(64 - bits)
         place = np.arange(m) - np.repeat(words.first[:-1], np.diff(words.first))
         whole = place >= n - 1
     return out, whole
 
 
-def _bounds(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
-    return common.part_bounds(sorted_hashes, parts, HASH_BITS)
-
-
 def _open(blob: bytes) -> tuple[pa.Array, common.Words]:
     ids, data, offsets = common.open_chunk(blob)
-    return ids, common.split_words(data, offsets)
+    return ids, common.split_sliced(data, offsets)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,15 +61,15 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([len(_open(b.as_py())[1].start) for b in batch.column("blob")], pa.int64())], ["n_words"])
 
 
-def _send(parts: int):
+def _send(parts: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
                 words = _open(blob.as_py())[1]
                 for order in range(1, ORDER + 1):
-                    h, whole = ngrams(words, order)
+                    h, whole = ngrams(words, order, bits)
                     own, count = np.unique(h[whole], return_counts=True)
-                    edge = _bounds(own, parts)
+                    edge = common.part_bounds(own, parts, bits)
                     some = np.flatnonzero(np.diff(edge))
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -97,7 +97,7 @@ def _count(rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([rows.column("order"), rows.column("part"), rows.column("chunk"), pa.array([common.pack_numbers(x) for x in back], pa.binary())], ["order", "part", "chunk", "counts"])
 
 
-def _score(n_all: int):
+def _score(n_all: int, bits: int):
     names = ["id", "n_words", "log_score"]
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
@@ -109,7 +109,7 @@ def _score(n_all: int):
             own_ids, words = _open(blob.as_py())
             c, has = {}, {}
             for order in range(1, ORDER + 1):
-                h, has[order] = ngrams(words, order)
+                h, has[order] = ngrams(words, order, bits)
                 c[order] = np.zeros(len(h))
                 if has[order].any():
                     counts = np.concatenate([common.unpack_numbers(x.as_py()) for _, x in sorted(by_order[order], key=lambda x: x[0])])
@@ -141,10 +141,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Repeated rows count as often as they occur and are each scored; ids are carried along only."""
     chunks = common.chunks(docs, id_col, text_col, CHUNK_BYTES, "lm-chunks")
     n_all = chunks.select("blob").mapInArrow(_words, "n_words bigint").agg(F.sum("n_words")).first()[0] or 0
-    parts = max(1, -(-n_all // PARTITION_WORDS))
-    sent = chunks.mapInArrow(_send(parts), "order int, part int, chunk bigint, hashes binary, counts binary")
+    parts, bits = max(1, -(-n_all // PARTITION_WORDS)), hash_bits(n_all)
+    sent = chunks.mapInArrow(_send(parts, bits), "order int, part int, chunk bigint, hashes binary, counts binary")
     answers = sent.groupBy("order", "part").applyInArrow(_count, "order int, part int, chunk bigint, counts binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(n_all), "id bigint, n_words bigint, log_score double")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(n_all, bits), "id bigint, n_words bigint, log_score double")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

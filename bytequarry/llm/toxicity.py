@@ -50,17 +50,7 @@ class Net:
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of all texts, split a slice at a time so that the hashes of a large sample need little memory."""
-    parts, at, n = [], 0, 0
-    for a, b in common.slices(offsets, SLICE):
-        w = common.split_words(data, offsets[a : b + 1], separators=SEPARATORS)
-        parts.append((w.data, w.start + at, w.end + at, w.hash, w.first[:-1] + n))
-        at += len(w.data)
-        n += len(w.start)
-    if not parts:
-        return common.split_words(data, offsets, separators=SEPARATORS)
-    joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    return Words(*joined[:4], np.append(joined[4], n))
+    return common.split_sliced(data, offsets, SEPARATORS, SLICE)
 
 
 def ids_of(vocabulary: np.ndarray, words: Words) -> np.ndarray:
