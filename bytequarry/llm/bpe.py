@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 NONE = 1 << 40
-CACHED = 200_000
+CACHED = 400_000
 """Pieces in one generation of the cache."""
 CACHED_BYTES = 64
 """Longer pieces are not cached."""
@@ -186,6 +186,35 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     return df.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` content").mapInArrow(_digests(path, pattern), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+def _tokens(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [x.as_py() or "" for x in part.column(part.num_columns - 1)]
+                packed = [own.encode_packed(x) for x in texts]
+                for text, ids in zip(texts, packed, strict=True):
+                    if own.decode(np.frombuffer(ids, "<u4").tolist()) != text.encode():
+                        raise ValueError("a text does not decode to itself")
+                size = [len(x) // 4 for x in packed]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                sha = pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(size, pa.int64()), ids, sha], [*part.schema.names[:-1], "n_tokens", "ids", "ids_sha256"])
+
+    return run
+
+
+def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document, checked by decoding them, in place of its text."""
+    import public_tokenizers
+
+    kept = docs.select("doc_id", "lang", "source", "text")
+    schema = "doc_id bigint, lang string, source string, n_tokens bigint, ids array<int>, ids_sha256 string"
+    return kept.mapInArrow(_tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), schema)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -194,6 +194,20 @@ def score(df: DataFrame, net: Net, columns: list[str], text_col: str = "text") -
     return kept.mapInArrow(_scores(net), f"{schema}, score double")
 
 
+def _keep(net: Net, text: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = net.tables()
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(net, tables, *common.string_buffers(batch.column(text))) >= least))
+
+    return run
+
+
+def accepted(docs: DataFrame, net: Net, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score least or more, all columns as they are."""
+    return docs.mapInArrow(_keep(net, docs.columns.index(text_col), least), docs.schema)
+
+
 def fit(spark: SparkSession, sf_dir: str, folds: int = 4, held_out: int = 2) -> Net:
     """Learns from a bounded sample of the labelled documents outside the held-out fold."""
     return train(labels.sample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), "quality", labels.fold("doc_id", folds) != held_out))
@@ -202,3 +216,9 @@ def fit(spark: SparkSession, sf_dir: str, folds: int = 4, held_out: int = 2) ->
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(common.table(spark, sf_dir, "documents"), fit(spark, sf_dir), ["doc_id"])
     return scored.select("doc_id", (labels.fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for bad by even odds go."""
+    net = train(labels.sample(docs, common.table(spark, sf_dir, "labels"), "quality", labels.fold("doc_id", 4) != 2))
+    return accepted(docs, net)

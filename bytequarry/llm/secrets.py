@@ -127,6 +127,53 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     return address(versions, id_col, content_col).join(current, "blob", "left").select(F.col("version_id").alias(id_col), "blob", F.coalesce(F.array_distinct(ranked), F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")).alias("spans"))
 
 
+MASK = "[secret]"
+
+
+def mask(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with each maximal union of spans (start, end) replaced by MASK."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], MASK]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def _mask(text: int, count: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, columns = batch.column(batch.num_columns - 1).to_pylist(), list(batch.columns[:-1])
+            hit = [i for i, s in enumerate(spans) if s]
+            if hit:
+                texts = columns[text].to_pylist()
+                for i in hit:
+                    texts[i] = mask(texts[i], [(s["start"], s["stop"]) for s in spans[i]])
+                columns[text] = pa.array(texts, columns[text].type)
+                if count is not None:
+                    numbers = columns[count].to_pylist()
+                    for i in hit:
+                        numbers[i] = len(texts[i])
+                    columns[count] = pa.array(numbers, columns[count].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return run
+
+
+def masked(docs: DataFrame, ledger: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """docs with all spans of the ledger masked in its texts and, where there is such a column, its count of characters set
+    anew; all other columns and rows as they are."""
+    spans = ledger.filter(F.size("spans") > 0).groupBy(F.col("blob").alias("__blob")).agg(F.flatten(F.collect_list("spans")).alias("__spans"))
+    addressed = docs.withColumn("__blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    joined = addressed.join(spans.hint("shuffle_hash"), "__blob", "left").select(*docs.columns, "__spans")
+    return joined.mapInArrow(_mask(docs.columns.index(text_col), docs.columns.index(count_col) if count_col in docs.columns else None), docs.schema)
+
+
+def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; what the scan finds in it is masked."""
+    return masked(docs, common.spool(scan_new(docs), "secrets-ledger"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = findings(documents, scan_new(documents))
