@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op10_ann
 from .bpe import op7_bpe
 from .decontaminate import op9_decontaminate
+from .html import op3_html
 from .lm import ORACLE as LM_SQL
 from .lm import op5_lm_score
 from .minhash import op6_minhash
@@ -20,6 +21,7 @@ from .toxicity import op4_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secrets": op2_secrets,
+    "op3_html": op3_html,
     "op4_toxicity": op4_toxicity,
     "op5_lm_score": op5_lm_score,
     "op6_minhash": op6_minhash,
