@@ -167,7 +167,9 @@ def extract(spark: SparkSession, path: str, password: str | None = None, fail: b
     out = out.withColumn("error", F.coalesce(error, F.when(safe.isNull(), "unsafe path"))).withColumn("safe_path", safe)
     if fail:
         out = out.withColumn("content", F.when(F.col("error").isNull(), F.col("content")).otherwise(F.raise_error(F.concat_ws(": ", "path", "error")).cast("binary")))
-    return out.select("path", "safe_path", "size", F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error")
+    else:
+        out = out.withColumn("content", F.when(F.col("error").isNull(), F.col("content")))
+    return out.select("path", "safe_path", "size", "content", "error")
 
 
 def test(spark: SparkSession, path: str, deep: bool = False, password: str | None = None) -> DataFrame:

@@ -12,9 +12,23 @@ from pyspark.sql import functions as F
 from ..schema import FILE_MODE
 
 
-def scan(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files without bytes, which Spark's file sources leave out: listed by name on the driver."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found, rows = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hadoop, True), []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0 and not f.getPath().getName().startswith(("_", ".")):
+            rows.append((f.getPath().toString(), f.getModificationTime() // 1000))
+    out = spark.createDataFrame(rows, "path string, seconds bigint")
+    return out.select("path", F.timestamp_seconds("seconds").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+
+
+def scan(spark: SparkSession, root: str, pattern: str | None = None, empty: bool = True) -> DataFrame:
     """(path, is_dir, size, created_at, modified_at, mode, is_symlink, symlink_target, content) of a file or of all files
-    below a folder, paths relative to it. Columns that are not asked for are not read; contents least of all."""
+    below a folder, paths relative to it. Columns that are not asked for are not read; contents least of all.
+
+    With empty, files without bytes are listed too; with a pattern they are not."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -22,7 +36,10 @@ def scan(spark: SparkSession, root: str, pattern: str | None = None) -> DataFram
     full = F.regexp_replace("path", "^[a-zA-Z]+:/+", "/")
     at = F.instr(full, base)
     relative = F.when(at > 0, F.substr(full, at + F.length(base))).otherwise(F.element_at(F.split("path", "/"), -1))
-    return reader.load(root).select(
+    found = reader.load(root)
+    if empty and not pattern:
+        found = found.unionByName(_empty_files(spark, root))
+    return found.select(
         relative.alias("path"), F.lit(False).alias("is_dir"), F.col("length").alias("size"), F.lit(0).cast("long").alias("created_at"),
         F.unix_timestamp("modificationTime").alias("modified_at"), F.lit(FILE_MODE).alias("mode"), F.lit(False).alias("is_symlink"), F.lit(None).cast("string").alias("symlink_target"), "content",
     )
