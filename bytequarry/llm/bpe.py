@@ -173,17 +173,17 @@ def _decoded(path: str, pattern: str):
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) for each row; null text is empty and gives no ids. Rows and repeated ids stay as they are."""
-    return df.selectExpr(f"cast(`{id_col}` as bigint) id", f"`{text_col}` content").mapInArrow(_encoded(path, pattern), "id bigint, ids array<bigint>")
+    return df.selectExpr(f"cast(`{id_col}` as bigint) id", f"`{text_col}` content").mapInArrow(common.lean(_encoded(path, pattern)), "id bigint, ids array<bigint>")
 
 
 def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """(id, content) from (id, ids); content is binary, as ids may end inside a character."""
-    return df.select("id", "ids").mapInArrow(_decoded(path, pattern), "id bigint, content binary")
+    return df.select("id", "ids").mapInArrow(common.lean(_decoded(path, pattern)), "id bigint, content binary")
 
 
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes each row's text; number of ids and digests of the ids and of the decoded bytes."""
-    return df.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` content").mapInArrow(_digests(path, pattern), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` content").mapInArrow(common.lean(_digests(path, pattern)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def _tokens(path: str, pattern: str):
@@ -212,7 +212,7 @@ def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     kept = docs.select("doc_id", "lang", "source", "text")
     schema = "doc_id bigint, lang string, source string, n_tokens bigint, ids array<int>, ids_sha256 string"
-    return kept.mapInArrow(_tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), schema)
+    return kept.mapInArrow(common.lean(_tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)), schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,7 +185,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     schema = "id bigint, item_id bigint, n_words bigint, n_covered bigint, n_tiles bigint"
     found = None
     for block in blocks(items):
-        part = rows.mapInArrow(_pairs(block, threshold), schema)
+        part = rows.mapInArrow(common.lean(_pairs(block, threshold)), schema)
         found = part if found is None else found.union(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -193,7 +193,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 def without(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """docs less its contaminated rows; all columns as they are."""
     for block in blocks(items):
-        docs = docs.mapInArrow(_clean(block, threshold, docs.columns.index(text_col)), docs.schema)
+        docs = docs.mapInArrow(common.lean(_clean(block, threshold, docs.columns.index(text_col))), docs.schema)
     return docs
 
 

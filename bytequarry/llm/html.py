@@ -284,7 +284,7 @@ def main_text(pages: DataFrame, columns: list[str], html_col: str = "html") -> D
     """The named columns, text and n_chars (code points) for each row; rows and repeated ids stay as they are."""
     kept = pages.select(*columns, F.col(html_col).alias("__html"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_extract, f"{schema}, text string, n_chars bigint")
+    return kept.mapInArrow(common.lean(_extract), f"{schema}, text string, n_chars bigint")
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

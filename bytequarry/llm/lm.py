@@ -140,9 +140,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. Null and empty texts have no words and score 0.
     Repeated rows count as often as they occur and are each scored; ids are carried along only."""
     chunks = common.chunks(docs, id_col, text_col, CHUNK_BYTES, "lm-chunks")
-    n_all = chunks.select("blob").mapInArrow(_words, "n_words bigint").agg(F.sum("n_words")).first()[0] or 0
+    n_all = chunks.select("blob").mapInArrow(common.lean(_words), "n_words bigint").agg(F.sum("n_words")).first()[0] or 0
     parts, bits = max(1, -(-n_all // PARTITION_WORDS)), hash_bits(n_all)
-    sent = chunks.mapInArrow(_send(parts, bits), "order int, part int, chunk bigint, hashes binary, counts binary")
+    sent = chunks.mapInArrow(common.lean(_send(parts, bits)), "order int, part int, chunk bigint, hashes binary, counts binary")
     answers = sent.groupBy("order", "part").applyInArrow(_count, "order int, part int, chunk bigint, counts binary")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(n_all, bits), "id bigint, n_words bigint, log_score double")
 

@@ -107,7 +107,7 @@ def _sketch(n: int):
 
 def sketch(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content"))
-    return rows.mapInArrow(_sketch(n), "id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
+    return rows.mapInArrow(common.lean(_sketch(n)), "id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
 def _verify(n: int, above: int, below: int):
@@ -185,7 +185,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: Fraction) ->
     left = texts.select(F.col("id").alias("a"), F.col("content").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("content").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify(n, threshold.numerator, threshold.denominator), "a bigint, b bigint")
+    return both.mapInArrow(common.lean(_verify(n, threshold.numerator, threshold.denominator)), "a bigint, b bigint")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -219,7 +219,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     members = placed.join(unsettled, "key", "left_semi").filter("rep <> leader").select(F.col("rep").alias("a"), "leader", "component").distinct()
     own, leaders = texts.select(F.col("id").alias("a"), F.col("content").alias("text_a")), texts.select(F.col("id").alias("leader"), F.col("content").alias("text_leader"))
     families = members.join(leaders, "leader").join(own, "a").select("a", "leader", "component", "text_a", "text_leader")
-    families = common.spool(families.mapInArrow(_differences(n), "a bigint, leader bigint, component bigint, size bigint, many bigint, differs binary"), "minhash-families")
+    families = common.spool(families.mapInArrow(common.lean(_differences(n)), "a bigint, leader bigint, component bigint, size bigint, many bigint, differs binary"), "minhash-families")
     blocks = families.groupBy("leader").agg(F.ceil(F.sum("many") / FAMILY).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
     dealt = families.join(blocks, "leader").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("leader", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "a", "size", "component", "block", "differs")

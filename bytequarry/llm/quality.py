@@ -191,7 +191,7 @@ def score(df: DataFrame, net: Net, columns: list[str], text_col: str = "text") -
     """The named columns and score, from 0 to 1, of each row; null and empty texts have the score of a single zero byte."""
     kept = df.select(*columns, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_scores(net), f"{schema}, score double")
+    return kept.mapInArrow(common.lean(_scores(net)), f"{schema}, score double")
 
 
 def _keep(net: Net, text: int, least: float):
@@ -205,7 +205,7 @@ def _keep(net: Net, text: int, least: float):
 
 def accepted(docs: DataFrame, net: Net, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs that score least or more, all columns as they are."""
-    return docs.mapInArrow(_keep(net, docs.columns.index(text_col), least), docs.schema)
+    return docs.mapInArrow(common.lean(_keep(net, docs.columns.index(text_col), least)), docs.schema)
 
 
 def fit(spark: SparkSession, sf_dir: str, folds: int = 4, held_out: int = 2) -> Net:

@@ -116,7 +116,7 @@ def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     # A repeated id may hold other contents: the blob is matched as well.
     texts = texts.withColumn("blob", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256))
     fetched = texts.join(todo.hint("shuffle_hash"), ["version_id", "blob"]).select("blob", "content", "todo")
-    return fetched.mapInArrow(_scan(rules), f"blob string, rule string, spans {SPANS}")
+    return fetched.mapInArrow(common.lean(_scan(rules)), f"blob string, rule string, spans {SPANS}")
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", content_col: str = "text") -> DataFrame:
@@ -166,7 +166,7 @@ def masked(docs: DataFrame, ledger: DataFrame, text_col: str = "text", count_col
     spans = ledger.filter(F.size("spans") > 0).groupBy(F.col("blob").alias("__blob")).agg(F.flatten(F.collect_list("spans")).alias("__spans"))
     addressed = docs.withColumn("__blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     joined = addressed.join(spans.hint("shuffle_hash"), "__blob", "left").select(*docs.columns, "__spans")
-    return joined.mapInArrow(_mask(docs.columns.index(text_col), docs.columns.index(count_col) if count_col in docs.columns else None), docs.schema)
+    return joined.mapInArrow(common.lean(_mask(docs.columns.index(text_col), docs.columns.index(count_col) if count_col in docs.columns else None)), docs.schema)
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -457,7 +457,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     chunks = common.chunks(docs, id_col, text_col, CHUNK_BYTES, "suffix-chunks")
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(1, -(-int(n_bytes) * 2 // (SPAN + 1) // PARTITION_ENTRIES))
-    sent = chunks.mapInArrow(_send(parts), MESSAGE)
+    sent = chunks.mapInArrow(common.lean(_send(parts)), MESSAGE)
     pairs = common.spool(sent.groupBy("kind", "part").applyInArrow(_answer, MESSAGE), "suffix-pairs")
     more = chunks.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_send_ends(parts), MESSAGE)
     ends = common.spool(more.groupBy("kind", "part").applyInArrow(_answer, MESSAGE), "suffix-ends")

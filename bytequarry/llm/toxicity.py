@@ -265,7 +265,7 @@ def score(df: DataFrame, net: Net, columns: list[str], text_col: str = "text") -
     """The named columns and score, from 0 to 1, of each row; null and empty texts have the score of an empty window."""
     kept = df.select(*columns, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_scores(net), f"{schema}, score double")
+    return kept.mapInArrow(common.lean(_scores(net)), f"{schema}, score double")
 
 
 def fit(spark: SparkSession, sf_dir: str, folds: int = 5, held_out: int = 0) -> Net:
