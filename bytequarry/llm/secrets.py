@@ -103,8 +103,8 @@ def address(versions: DataFrame, id_col: str, content_col: str) -> DataFrame:
 def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", content_col: str = "text") -> DataFrame:
     """Ledger rows (blob, rule, spans) for the pairs of blob and rule version that the ledger lacks.
 
-    versions may hold further columns of any name, repeated rows and null contents; rows with a null id are addressed too
-    but are only scanned if another version, with an id, holds the blob."""
+    versions may hold further columns of any name, null ids and contents, and repeated rows; a row that is repeated with its
+    id and content may be scanned as often."""
     all_rules = F.array(*[F.lit(r.key) for r in rules])
     blobs = address(versions, id_col, content_col).groupBy("blob").agg(F.min("version_id").alias("version_id"))
     if ledger is None:
@@ -115,7 +115,9 @@ def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     texts = versions.select(F.col(id_col).alias("version_id"), F.col(content_col).alias("content"))
     # A repeated id may hold other contents: the blob is matched as well.
     texts = texts.withColumn("blob", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256))
-    fetched = texts.join(todo.hint("shuffle_hash"), ["version_id", "blob"]).select("blob", "content", "todo")
+    todo = todo.select(F.col("version_id").alias("first_id"), F.col("blob").alias("first_blob"), "todo")
+    same = F.col("version_id").eqNullSafe(F.col("first_id")) & (F.col("blob") == F.col("first_blob"))
+    fetched = texts.join(todo.hint("shuffle_hash"), same).select("blob", "content", "todo")
     return fetched.mapInArrow(common.lean(_scan(rules)), f"blob string, rule string, spans {SPANS}")
 
 
