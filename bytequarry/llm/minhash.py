@@ -33,7 +33,7 @@ UNIVERSE = 1 << 20
 BANDS, ROWS = 32, 5
 K = BANDS * ROWS
 SEED = 5
-FAMILY = 4_000_000
+FAMILY = 500_000
 """Differing shingles in a block of a family."""
 _TABLE: dict[int, np.ndarray] = {}
 
@@ -223,7 +223,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     blocks = families.groupBy("leader").agg(F.ceil(F.sum("many") / FAMILY).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
     dealt = families.join(blocks, "leader").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("leader", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "a", "size", "component", "block", "differs")
-    more = common.spool(dealt.groupBy("leader", "low", "high").applyInArrow(_families(threshold), "a bigint, b bigint").distinct(), "minhash-more")
+    # The join on leader has left all blocks of a leader in one place.
+    more = common.spool(dealt.repartition("leader", "low", "high").groupBy("leader", "low", "high").applyInArrow(_families(threshold), "a bigint, b bigint").distinct(), "minhash-more")
     joined = graph.components(links.union(more).union(copies), "minhash-components")
     return rows.select("id", "n_shingles").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
