@@ -33,11 +33,12 @@ ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 CHUNK_BYTES = 8 << 20
 PARTITION_WORDS = 2_500_000
 MARGIN_BITS = 20
-"""n-gram hashes have so many bits more than the number of words: two n-grams share one with probability 2**-20 at most."""
+"""n-gram hashes have so many bits more than the number of words, 48 at least: an n-gram shares its hash with another one with
+probability 2**-20 at most."""
 
 
 def hash_bits(n_words: int) -> int:
-    return min(63, n_words.bit_length() + MARGIN_BITS)
+    return min(63, max(48, n_words.bit_length() + MARGIN_BITS))
 
 
 def ngrams(words: common.Words, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
