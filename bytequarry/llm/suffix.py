@@ -15,9 +15,11 @@ Consecutive strings with one anchor form a stretch.
    sorted by what stands to the left give for each place the longest left extension it shares with an earlier one. So each
    stretch learns which of its strings start earlier elsewhere.
 3. A gram with more than HOT stretches would be an unbounded group: its strings are sent one by one instead, by their own
-   hash, and each partition answers whether they were seen earlier.
+   hash, and each partition answers whether they were seen earlier. A chunk that holds more than MANY stretches of a gram by
+   itself sends a mark in their place, and the gram goes this way too.
 
-A pair is sent once by each chunk, however often the chunk holds it, so copies cost a partition one entry a chunk.
+A pair is sent once by each chunk, however often the chunk holds it, so a gram costs its partition MANY entries a chunk at
+most, of the hundred thousands that a chunk sends.
 Hashes: grams 56 bits within a partition's range, stretches 48 bits within a gram, single strings 56 bits and 8 within.
 """
 
@@ -40,8 +42,9 @@ SPAN = LEAST - GRAM + 1
 """Grams in a string of LEAST bytes; a stretch has at most so many strings."""
 CHUNK_BYTES = 8 << 20
 PARTITION_ENTRIES = 500_000
-HOT = 1000
+HOT, MANY = 1000, 16
 BITS = 56
+MARK = (1 << 48) - 1
 ALONE, SEEN, FIRST, FIRST_HOT = 0, 1, 2, 3
 _LAST = np.iinfo(np.int64).max
 
@@ -227,6 +230,18 @@ class Chunk:
         self.pair[order] = np.cumsum(new) - 1
         self.first = order[new]  # the stretch that stands first, of each pair
         self.gram, self.whole = g[new], w[new]
+        start = np.flatnonzero(np.concatenate([[True], self.gram[1:] != self.gram[:-1]])) if len(self.gram) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(self.gram)))
+        self.marked = np.repeat(size > MANY, size)  # pairs that one mark stands for
+        sent = ~self.marked
+        sent[start] = True
+        self.entry = np.flatnonzero(sent)  # pairs that are sent, or stand for their gram
+        self.entry_of = np.cumsum(sent) - 1
+
+    def codes(self, answers: pa.Table) -> np.ndarray:
+        """The answer for each pair."""
+        code = _joined(answers, PAIRS)
+        return np.where(self.marked, FIRST_HOT, code[self.entry_of]) if len(code) else np.zeros(0, np.uint64)
 
     def doc_of(self, place: np.ndarray) -> np.ndarray:
         return self.doc[np.searchsorted(self.offsets, place, "right") - 1]
@@ -275,7 +290,8 @@ def _send(parts: int) -> Callable:
         for batch in batches:
             for number, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
                 c = Chunk(blob.as_py())
-                sent = _pack_entries(c, c.gram, c.whole, c.s["first"][c.first], parts)
+                second = np.where(c.marked, np.uint64(MARK), c.whole)[c.entry]
+                sent = _pack_entries(c, c.gram[c.entry], second, c.s["first"][c.first[c.entry]], parts)
                 yield _messages([(PAIRS, p, number, b) for p, b in sent.items()])
 
     return run
@@ -301,7 +317,8 @@ def _seen(rows: list[tuple[int, bytes]], grams: bool) -> list[np.ndarray]:
             group = np.cumsum(new_key) - 1
             kinds = np.bincount(group, first)[group]
             out[some[first & (kinds > 1)]] = FIRST
-            out[some[first & (kinds > HOT)]] = FIRST_HOT
+            many = np.bincount(group, s == MARK)[group] > 0
+            out[some[first & (many | (kinds > HOT))]] = FIRST_HOT
     return np.split(out, np.cumsum(size)[:-1])
 
 
@@ -379,7 +396,7 @@ def _send_ends(parts: int) -> Callable:
         rows = []
         for number, blob in zip(chunks.column("chunk").to_pylist(), chunks.column("blob"), strict=True):
             c = Chunk(blob.as_py())
-            code = _joined(answers, PAIRS)
+            code = c.codes(answers)
             some = np.flatnonzero(code == FIRST)
             stretch = c.first[some]
             first, end, anchor = c.s["first"][stretch], c.s["last"][stretch] + LEAST, c.s["at"][stretch] - c.s["first"][stretch]
@@ -402,7 +419,7 @@ def _send_ends(parts: int) -> Callable:
 def covered(c: Chunk, answers: pa.Table) -> np.ndarray:
     """For each byte of the chunk whether a string of LEAST bytes over it starts earlier."""
     change = np.zeros(len(c.data) + 1, np.int32)
-    code = _joined(answers, PAIRS)
+    code = c.codes(answers)
     if len(code):
         gone = code[c.pair] == SEEN
         repeat = np.ones(len(c.pair), bool)

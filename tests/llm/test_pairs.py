@@ -64,9 +64,11 @@ def test_suffix_dedup(spark, documents, words, monkeypatch, hot, chunk):
     assert sorted((r["id"], r["n_bytes"], r["n_removed"], len(r["starts"]), r["kept_sha256"]) for r in got) == slow_removed(rows)
 
 
-def test_suffix_dedup_with_hot_grams(documents, words, monkeypatch):
+@pytest.mark.parametrize("hot,many", [(3, 16), (1000, 1), (2, 2), (1000, 1000)])
+def test_suffix_dedup_with_hot_grams(documents, words, monkeypatch, hot, many):
     """The path of the hot grams, in this process: workers do not see a patched limit."""
-    monkeypatch.setattr(suffix, "HOT", 3)
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "MANY", many)
     import pyarrow as pa
 
     rows = repeated_rows(words)
@@ -91,7 +93,7 @@ def test_suffix_dedup_with_hot_grams(documents, words, monkeypatch):
 
     of = lambda t, k: t.filter(pa.compute.equal(t.column("chunk"), k))
     pairs = answers(pa.Table.from_batches(list(suffix._send(4)(iter(table.to_batches())))))
-    assert suffix.FIRST_HOT in suffix._joined(of(pairs, 0), suffix.PAIRS)
+    assert hot == many or suffix.FIRST_HOT in suffix._joined(of(pairs, 0), suffix.PAIRS)
     ends = answers(pa.concat_tables([suffix._send_ends(4)(of(table, k), of(pairs, k)) for k in range(3)]))
     both = pa.concat_tables([pairs, ends])
     got = [r for k in range(3) for r in suffix._cut(of(table, k), of(both, k)).to_pylist()]
