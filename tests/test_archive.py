@@ -101,6 +101,17 @@ def test_data_source(spark, table, tmp_path):
     assert spark.read.format("byte_container").option("table", "chunks").load(str(tmp_path / "one.bin")).count() == 3
 
 
+def test_data_source_writes(spark, table, tmp_path):
+    spark.dataSource.register(container.ContainerSource)
+    out = tmp_path / "packed"
+    table.repartition(2).write.format("byte_container").option("recovery_percent", 10).mode("append").save(str(out))
+    made = sorted(p.name for p in out.iterdir())
+    assert made and all(n.startswith("part-") for n in made)
+    back = {x["path"]: x["content"] for n in made for x in container.Archive((out / n).read_bytes()).extract()}
+    assert back == {p: c or b"" for p, c in CONTENTS.items()}
+    assert spark.read.format("byte_container").load(f"{out}/*.bin").count() == 5
+
+
 def test_reports(spark, table):
     rows = table.filter("content is not null")
     out = reports.by_method(rows, "content").collect()
