@@ -65,6 +65,20 @@ def convert(spark: SparkSession, package: str, path: str, options: Options = Opt
     return archive.convert(files.scan(spark, files.resolve(package)).select("path", "content"), path, options)
 
 
+def extract_package(spark: SparkSession, package: str, target: str) -> int:
+    """Writes what a foreign package holds below target; unsafe paths and unreadable packages stop it before anything is
+    written. Number of files."""
+    opened = packages.members(files.scan(spark, files.resolve(package)).select("path", "content"), "path", "content", contents=True)
+    safe = security.with_safe_path(opened.filter("is_dir is null or not is_dir").withColumnRenamed("error", "read_error")).withColumn("error", F.coalesce("read_error", "error"))
+    bad = safe.filter(F.col("error").isNotNull()).select("package", "error").first()
+    if bad:
+        from .errors import ByteError
+
+        raise ByteError(f"{bad['package']}: {bad['error']}")
+    archive.write_files(safe, target)
+    return safe.count()
+
+
 def info(spark: SparkSession, path: str) -> DataFrame:
     return reports.file_info(files.scan(spark, files.resolve(path)), "path", "content")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns, detect, udfs
 from .operators import crypto, dedup, parity, security, tournament
-from .plans import archive, relational, reports
+from .plans import archive, relational, reports, stores
 from .plans.spread import spread
 from .schema import Options
 from .sources import container, files, packages
@@ -611,6 +611,28 @@ def _archive_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, mended)
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.format_string("%s/%d.txt", "lang", "doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+
+
+def _restored(out: DataFrame) -> DataFrame:
+    return out.select("path", "size", F.sha2("content", 256).alias("sha256"), F.col("error").isNull().alias("sound"))
+
+
+@query("chunk_store", _EXTRACTED)
+def _chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    stores.store_chunks(_texts(spark, sf_dir), path)
+    return _restored(stores.restore_chunks(spark, path))
+
+
+@query("solid_blocks", _EXTRACTED)
+def _solid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    stores.pack_solid(_texts(spark, sf_dir), path, limit=1 << 16)
+    return _restored(stores.extract_solid(spark, path))
+
+
 def _packages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row as a ZIP (even ids) or a TAR (odd ids) of its text in two members."""
     for batch in batches:

@@ -66,9 +66,24 @@ READERS: list[tuple[str, Callable[[bytes], Iterator[Member]]]] = [
 """By detected type; the first that fits a row reads it."""
 
 
-def register(kind: str, reader: Callable[[bytes], Iterator[Member]]) -> None:
-    """Adds a reader for a detected type, after the ones there are."""
+OWN_MAGICS: list[tuple[str, bytes]] = []
+
+
+def register(kind: str, reader: Callable[[bytes], Iterator[Member]], magic: bytes | None = None) -> None:
+    """Adds a reader for a detected type or, with a magic, for a type of its own; it is tried after the ones there are."""
     READERS.append((kind, reader))
+    if magic:
+        OWN_MAGICS.append((kind, magic))
+
+
+def route(content: F.Column) -> F.Column:
+    """The type that decides which reader opens the content: the detected one if there is a reader for it, else the first
+    registered magic, else the detected one."""
+    known = detect.known_type(content)
+    out = F.when(known.isin([k for k, _ in READERS]), known)
+    for kind, magic in OWN_MAGICS:
+        out = out.when(F.startswith(content, F.lit(magic)), kind)
+    return out.otherwise(known)
 
 
 def _open(readers: list, contents: bool, max_bytes: int, fail: bool):
@@ -103,7 +118,7 @@ def members(df: DataFrame, id_col: str, content_col: str, contents: bool = False
 
     Rows of a type without reader, and packages that cannot be read or expand too far, give one row with an error, or stop the
     query with fail. Times are not kept."""
-    routed = df.select(F.col(id_col).cast("string").alias("package"), detect.known_type(F.col(content_col)).alias("kind"), F.col(content_col).alias("content")).filter("content is not null")
+    routed = df.select(F.col(id_col).cast("string").alias("package"), route(F.col(content_col)).alias("kind"), F.col(content_col).alias("content")).filter("content is not null")
     out = routed.mapInArrow(_open(list(READERS), contents, max_bytes, fail), "package string, path string, is_dir boolean, size bigint, content binary, error string")
     return out.select("package", "path", "is_dir", "size", F.lit(0).cast("long").alias("created_at"), F.lit(0).cast("long").alias("modified_at"), F.lit(FILE_MODE).alias("mode"), "content", "error")
 

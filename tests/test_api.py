@@ -5,8 +5,9 @@ import zipfile
 import pytest
 
 from bytequarry import api
-from bytequarry.errors import IntegrityError
+from bytequarry.errors import ByteError, IntegrityError
 from bytequarry.schema import Options
+from bytequarry.sources import packages
 
 LINE = b"2026-01-01 request served in 12 ms by worker 7 of pool a, status ok\n"
 
@@ -40,6 +41,26 @@ def test_convert_and_nested(spark, tmp_path):
     assert {(r["path"], r["depth"]) for r in api.inspect_nested(spark, str(tmp_path / "p.zip")).collect()} == {("", 0), ("a/b.txt", 1)}
 
 
+def test_extract_package(spark, tmp_path):
+    for name, member in (("good.zip", "a/b.txt"), ("bad.zip", "../up.txt")):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr(member, LINE)
+    assert api.extract_package(spark, str(tmp_path / "good.zip"), str(tmp_path / "out")) == 1
+    assert (tmp_path / "out/a/b.txt").read_bytes() == LINE
+    with pytest.raises(ByteError, match="unsafe"):
+        api.extract_package(spark, str(tmp_path / "bad.zip"), str(tmp_path / "out2"))
+
+
+def test_own_package_type(spark, monkeypatch):
+    monkeypatch.setattr(packages, "READERS", list(packages.READERS))
+    monkeypatch.setattr(packages, "OWN_MAGICS", [])
+    packages.register("Lines", lambda data: iter([(f"{i}", False, len(x), lambda x=x: x) for i, x in enumerate(data.split(b"\n")[1:])]), b"LINES")
+    rows = spark.createDataFrame([("p", bytearray(b"LINES\none\ntwo")), ("q", bytearray(b"text"))], "id string, c binary")
+    got = packages.members(rows, "id", "c", contents=True).collect()
+    assert sorted((r["package"], r["path"], r["content"]) for r in got if not r["error"]) == [("p", "0", bytearray(b"one")), ("p", "1", bytearray(b"two"))]
+    assert [r["package"] for r in got if r["error"]] == ["q"]
+
+
 def test_a_wrong_password_writes_nothing(spark, tmp_path):
     (tmp_path / "f").write_bytes(LINE)
     api.compress(spark, [str(tmp_path / "f")], str(tmp_path / "packed"), Options(password="a", recovery_percent=0))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytequarry.functions import udfs
-from bytequarry.plans import archive, reports
+from bytequarry.plans import archive, reports, stores
 from bytequarry.schema import Options
 from bytequarry.sources import container, files
 from bytequarry.streaming import files as stream
@@ -101,6 +101,27 @@ def test_data_source(spark, table, tmp_path):
     assert spark.read.format("byte_container").option("table", "chunks").load(str(tmp_path / "one.bin")).count() == 3
 
 
+def test_chunk_store(spark, table, tmp_path):
+    big = os.urandom(70_000)
+    rows = table.union(spark.createDataFrame([("big", bytearray(big)), ("again", bytearray(b"head" + big))], "path string, content binary"))
+    stores.store_chunks(rows, str(tmp_path / "x"))
+    got = {r["path"]: (r["content"], r["error"]) for r in stores.restore_chunks(spark, str(tmp_path / "x")).collect()}
+    want = {p: c or b"" for p, c in CONTENTS.items()} | {"big": big, "again": b"head" + big}
+    assert got == {p: (bytearray(c), None) for p, c in want.items()}
+    chunks = spark.read.parquet(str(tmp_path / "x/chunks"))
+    assert chunks.count() == chunks.select("sha256").distinct().count()
+    assert chunks.agg(F.sum("original_size")).first()[0] < sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("limit", [1, 2000, 1 << 20])
+def test_solid_blocks(spark, table, tmp_path, limit):
+    stores.pack_solid(table, str(tmp_path / "x"), limit, partitions=1)
+    got = {r["path"]: (r["content"], r["error"]) for r in stores.extract_solid(spark, str(tmp_path / "x")).collect()}
+    assert got == {p: (bytearray(c or b""), None) for p, c in CONTENTS.items()}
+    if limit == 1 << 20:
+        assert spark.read.parquet(str(tmp_path / "x/blocks")).count() == 1
+
+
 def test_data_source_writes(spark, table, tmp_path):
     spark.dataSource.register(container.ContainerSource)
     out = tmp_path / "packed"
