@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .ann import op10_ann
 from .bpe import op7_bpe
 from .decontaminate import op9_decontaminate
@@ -31,4 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann": op10_ann,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_lm_score": LM_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": oracles.SUFFIX,
+    "op2_secrets": oracles.SECRETS,
+    "op5_lm_score": LM_SQL,
+    "op6_minhash": oracles.MINHASH,
+}
