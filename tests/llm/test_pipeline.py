@@ -2,14 +2,13 @@
 
 from fractions import Fraction
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from .test_pairs import slow_components
 
 import __spark_entry__
 import corpus_pipeline
-from bytequarry.llm import bpe, common, decontaminate, labels, quality, secrets
+from bytequarry.llm import bpe, common, labels, quality, secrets
 
 TOKEN = " token = 'abcdef0123456789abcdef0123456789'"
 

@@ -12,7 +12,6 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
-from pyspark.sql import functions as F
 
 from bytequarry.llm import bpe, common, html, labels, lm, quality, secrets, toxicity
 
