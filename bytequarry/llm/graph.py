@@ -26,5 +26,6 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         common.drop_spooled(labels)
         labels = after.select("node", "component")
         if not changed:
+            common.drop_spooled(both)
             return labels
     raise RuntimeError(f"no fixed point after {ROUNDS} rounds")

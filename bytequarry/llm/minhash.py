@@ -226,6 +226,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     # The join on leader has left all blocks of a leader in one place.
     more = common.spool(dealt.repartition("leader", "low", "high").groupBy("leader", "low", "high").applyInArrow(_families(threshold), "a bigint, b bigint").distinct(), "minhash-more")
     joined = graph.components(links.union(more).union(copies), "minhash-components")
+    # joined and the sketches are all that the result reads
+    for done in (weighed, texts, led, links, found, families, more, member):
+        common.drop_spooled(done)
     return rows.select("id", "n_shingles").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
