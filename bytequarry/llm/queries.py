@@ -35,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": oracles.SUFFIX,
     "op2_secrets": oracles.SECRETS,
+    "op3_html": oracles.MAIN_TEXT,
     "op5_lm_score": LM_SQL,
     "op6_minhash": oracles.MINHASH,
 }
