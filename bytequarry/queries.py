@@ -167,7 +167,7 @@ for _name, _sql, _plan in (("delta", _DELTA, relational.delta), ("predict", _PRE
 @query("delta_native", _DELTA)
 def _delta_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without shuffle and without Python: array functions only."""
-    return _nonempty(spark, sf_dir).select(F.col("id").alias("doc_id"), columns.hex_of(columns.delta(columns.byte_array(F.col("content")))).alias("hex"))
+    return spread(_nonempty(spark, sf_dir)).select(F.col("id").alias("doc_id"), columns.hex_of(columns.delta(columns.byte_array(F.col("content")))).alias("hex"))
 
 
 _TEXT_HEX = "SELECT doc_id, hex(encode(text)) AS hex FROM documents WHERE octet_length(encode(text)) > 0"
