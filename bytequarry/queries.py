@@ -285,13 +285,14 @@ def _tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tournament_sizes")
 def _tournament_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidates in full, and the winner chosen by array functions: verified, smallest, ties by method."""
+    """All candidates of every item and document in full, and the winner chosen by array functions: verified, smallest, ties by
+    method."""
     kind = "array<struct<method:string,size:bigint,verified:boolean>>"
     all_ = F.pandas_udf(_all_sizes, kind)(F.col("content"))
     rank = F.create_map(*[x for i, m in enumerate(tournament.METHODS) for x in (F.lit(m), F.lit(i))])
     sound = F.filter("candidates", lambda c: c["verified"])
     best = F.array_min(F.transform(sound, lambda c: F.struct(c["size"].alias("size"), rank[c["method"]].alias("rank"), c["method"].alias("method"))))
-    out = documents(spark, sf_dir, "benchmark", "item_id").unionByName(coded_documents(spark, sf_dir).filter(F.octet_length("content").between(1000, 3000))).withColumn("candidates", all_)
+    out = documents(spark, sf_dir, "benchmark", "item_id").unionByName(coded_documents(spark, sf_dir)).withColumn("candidates", all_)
     return out.select("id", F.octet_length("content").cast("long").alias("n_bytes"), best["method"].alias("method"), best["size"].alias("size"))
 
 
