@@ -12,6 +12,7 @@ only such a block is ever sent to the executors. The scan of the documents is na
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,7 +77,8 @@ def _runs(words: np.ndarray, free: np.ndarray, length: int) -> tuple[np.ndarray,
 def tile(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Tiles (start in item, start in text, length), longest first; ties go to the earlier in the item, then in the text.
 
-    Marked words take no further part on either side."""
+    Marked words take no further part on either side. A match that a longer tile has cut into goes back into the queue with
+    what is left of its head, and every later start has a match of its own, so no free run of a pass's length outlives it."""
     free_i, free_t = np.ones(len(item), bool), np.ones(len(text), bool)
     tiles, length = [], max(least, min(len(item), len(text)))
     while True:
@@ -91,11 +93,17 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[in
                 while a + n < len(item) and b + n < len(text) and free_i[a + n] and free_t[b + n] and item[a + n] == text[b + n]:
                     n += 1
                 found.append((-n, a, b))
-        for n, a, b in sorted(found):
-            if free_i[a : a - n].all() and free_t[b : b - n].all():
+        heapq.heapify(found)
+        while found:
+            n, a, b = heapq.heappop(found)
+            free = free_i[a : a - n] & free_t[b : b - n]
+            head = -n if free.all() else int(free.argmin())
+            if head == -n:
                 free_i[a : a - n] = False
                 free_t[b : b - n] = False
                 tiles.append((a, b, -n))
+            elif head >= length:
+                heapq.heappush(found, (-head, a, b))
         if length == least:
             return tiles
         length = max(least, length // 2)

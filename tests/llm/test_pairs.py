@@ -221,6 +221,31 @@ def test_tiles_cover_what_greedy_search_covers():
         assert abs(len(places) - slow_tiles(item.tolist(), text.tolist(), 3)) <= 3
 
 
+def test_no_free_run_is_left():
+    one, two = range(10, 18), range(20, 28)
+    item, text = np.array([1, *one, 2, 3, *two, 1], np.uint64), np.array([*two, 1, *one, 4, *one[:5]], np.uint64)
+    assert sum(n for _, _, n in decontaminate.tile(item, text)) == 17
+    rnd = random.Random(10)
+    for _ in range(400):
+        item = np.array([rnd.randrange(3, 8) for _ in range(rnd.randrange(5, 40))], np.uint64)
+        text = np.array([rnd.randrange(3, 8) for _ in range(rnd.randrange(80))], np.uint64)
+        tiles = decontaminate.tile(item, text, 3)
+        in_item, in_text = item.astype(int).tolist(), text.astype(int).tolist()
+        for a, b, n in tiles:
+            in_item[a : a + n], in_text[b : b + n] = [-1] * n, [-2] * n
+        runs = lambda x: {tuple(x[k : k + 3]) for k in range(len(x) - 2)}
+        assert not runs(in_item) & runs(in_text)
+        assert sum(n for _, _, n in tiles) == slow_tiles(item.tolist(), text.tolist(), 3)
+
+
+def test_decontamination_of_reordered_fragments(spark, documents):
+    one, two = " ".join(f"a{k}" for k in range(8)), " ".join(f"b{k}" for k in range(8))
+    items = spark.createDataFrame([(1, f"the {one} x y {two} the")], "item_id long, text string")
+    docs = documents([(1, f"{two} the {one} # {' '.join(one.split()[:5])}"), (2, two)])
+    assert [(r["id"], r["n_words"], r["n_covered"]) for r in decontaminate.contaminated(docs, items).collect()] == [(1, 20, 17)]
+    assert [r["doc_id"] for r in decontaminate.without(docs, items).collect()] == [2]
+
+
 def test_decontamination(spark, documents, words):
     items = spark.createDataFrame([(1, words(40, 70)), (2, words(30, 71)), (3, "too short"), (4, None), (None, words(9, 3))], "item_id long, text string")
     one, two = words(40, 70), words(30, 71).split()
