@@ -33,6 +33,7 @@ CLOSES_P = BLOCKS - frozenset("option optgroup body html head td th tr tbody the
 SCOPE = {"li": frozenset("ul ol menu".split()), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset("tr table".split()), "th": frozenset("tr table".split()), "option": frozenset(["select"])}
 ELEMENT_SCORE = {"article": 2.5, "main": 1.5, "nav": -6.0, "menu": -5.0, "footer": -6.0, "aside": -5.0, "header": -4.0, "form": -5.0, "fieldset": -3.0, "dialog": -5.0, "address": -1.0, "h1": 0.5, "h2": 0.3, "h3": 0.3, "p": 0.4, "li": -0.3}
 ROLE_SCORE = {"main": 1.5, "article": 2.0, "navigation": -6.0, "banner": -4.0, "contentinfo": -6.0, "complementary": -5.0, "search": -5.0, "dialog": -5.0, "alertdialog": -5.0, "alert": -4.0, "menu": -5.0, "menubar": -5.0, "form": -5.0}
+BOILERPLATE = -3.0  # names and roles of this score or less are boilerplate wherever they stand
 BAD_WORDS = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer form hidden legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion promoted recommended related replies reply respond rail search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar tracking widget".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
@@ -48,9 +49,10 @@ class Element:
     tag: str
     parent: Element | None
     depth: int
-    score: float  # of all elements from the root to this one
+    score: float  # of all elements from the root to this one; a boilerplate element takes away what it inherits
     in_article: bool
     silent: bool
+    part: bool = False  # lies in a boilerplate part of an article, where nothing adds to the score
 
 
 @dataclass
@@ -62,24 +64,33 @@ class Block:
     score: float = 0.0
 
 
-def _own_score(tag: str, attributes: str, in_article: bool) -> float:
+def _own_score(tag: str, attributes: str, in_article: bool) -> tuple[float, bool]:
+    """Of an element itself, and whether it is boilerplate whatever it lies in.
+
+    An article or main that one of its classes calls content ("post category-legal") is not, for a bad word among the others."""
     score = ELEMENT_SCORE.get(tag, 0.0)
     if tag == "header" and in_article:
         score = 0.0
+    bad = score <= BOILERPLATE
     if not attributes or attributes.isspace():
-        return score
+        return score, bad
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
-    score += ROLE_SCORE.get(found.get("role", "").strip().lower(), 0.0)
+    role = ROLE_SCORE.get(found.get("role", "").strip().lower(), 0.0)
+    score += role
+    bad |= role <= BOILERPLATE
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         score -= 8.0
+        bad = True
     if tag in ("body", "html"):
-        return score
-    words = {w.lower() for w in NAME.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+        return score, bad
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    words = {w.lower() for w in NAME.findall(names)}
     if words & BAD_WORDS and not (in_article and words & GOOD_WORDS and words & BAD_WORDS <= {"header"}):
         score -= 5.0
+        bad |= tag not in ("article", "main") or not any(n.lower() in GOOD_WORDS for n in names.split())
     elif words & GOOD_WORDS:
         score += 1.5
-    return score
+    return score, bad
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -147,8 +158,11 @@ def blocks_of(page: str) -> list[Block]:
             if tag in SCOPE:
                 leave(tag, SCOPE[tag])
             if tag not in VOID:
-                own = _own_score(tag, m[3], here.in_article)
-                here = Element(tag, here, here.depth + 1, here.score + own, here.in_article or tag in ("article", "main"), here.silent or tag in NO_TEXT)
+                own, bad = _own_score(tag, m[3], here.in_article)
+                score = (min(here.score, 0.0) if bad else here.score) + (min(own, 0.0) if here.part else own)
+                # A form may be laid around a whole page, so what lies in it can still gain.
+                part = here.part or (bad and here.in_article and tag != "form")
+                here = Element(tag, here, here.depth + 1, score, here.in_article or tag in ("article", "main"), here.silent or tag in NO_TEXT, part)
         elif tag == "br":
             add(" ")
         elif tag == "a":

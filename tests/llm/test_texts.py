@@ -102,6 +102,32 @@ def test_main_text():
     html.extract("<div>" * 5000 + "deep")
 
 
+PARTS = [
+    '<div class="ad">Buy our shoes now at half price today.</div>', '<div class="share">Share this story with all of your friends.</div>', '<div class="related">More stories that you might like to read.</div>',
+    '<div class="newsletter"><p>Get the best of our stories by mail each week.</p></div>', '<div class="cookie-notice">We use cookies, and please accept all of them now.</div>',
+    '<div class="comment"><p>' + "I think that this is a very good story, and so do all of my friends here. " * 5 + "</p></div>",
+    '<section id="comments"><article class="comment"><div class="comment-body"><p>' + "I do not think so, as I have read all of this before. " * 6 + "</p></div></article></section>",
+    '<section class="comments"><article><div class="content"><p>' + "Thank you for this, as I had never read of it before. " * 6 + "</p></div></article></section>",
+    "<form><p>Tell us what you think about this story, and leave your name.</p></form>", "<form><label>Please write your full name in here.</label></form>", "<aside><p>Another story that is not part of this one, in some words.</p></aside>",
+    '<div role="dialog"><p>Please sign in to go on reading all of our stories.</p></div>', '<div hidden><p>This line is not shown to any reader of the page.</p></div>',
+]
+
+
+@pytest.mark.parametrize("around", ['<main id="main"><article class="post">', "<main><article>", '<main class="content"><article class="entry"><div class="entry-content">', "<article>"])
+def test_boilerplate_within_articles(around):
+    text = ["The first paragraph of the story, with some words in it.", "A short one.", "The last paragraph, also with a number of words in it."]
+    for part in PARTS:
+        for k in (1, 2, 3):
+            inner = "".join(f"<p>{t}</p>" + (part if i == k else "") for i, t in enumerate(text, 1))
+            assert html.extract(f"<body><h1>Name of the site</h1>{around}{inner}</body>").split("\n\n")[-3:] == text, (part, k)
+
+
+def test_bad_words_beside_the_name_of_an_article():
+    text = "A long story about the law, which goes on for a number of words so that it is worth reading. " * 3
+    assert html.extract(f'<main id="main"><article class="post category-legal"><p>{text}</p></article></main>') == text.strip()
+    assert html.extract(f'<form id="page"><main id="main"><article class="post"><p>{text}</p></article></main></form>') == text.strip()
+
+
 def test_cut_is_least():
     rnd = random.Random(4)
     for _ in range(150):
