@@ -6,7 +6,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -59,6 +59,14 @@ def drop_spooled(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that is not taken, whatever the case of letters."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and len+1 offsets of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

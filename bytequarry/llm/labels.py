@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 3000
-"""Rows that a network is fitted on, at most; with SAMPLE_TEXT_BYTES it bounds what reaches the driver."""
-SAMPLE_TEXT_BYTES = 32768
-"""Longer texts are not drawn for fitting (they are scored like all others, whole)."""
+"""Rows that a network is fitted on, at most; their texts are taken whole."""
 
 
 def fold(id_col: str, folds: int) -> F.Column:
@@ -25,6 +23,6 @@ def sample(documents: DataFrame, labels: DataFrame, target: str, keep: F.Column,
         .groupBy("doc_id").agg(F.max(F.col(target).cast("int")).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    texts = documents.filter(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_TEXT_BYTES)).select("doc_id", "text")
+    texts = documents.filter(F.col("text").isNotNull()).select("doc_id", "text")
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     return [(r["text"], r["label"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]

@@ -26,7 +26,7 @@ EPOCHS, BATCH, RATE = 10, 32, 0.01
 CROP = 0.3
 """Share of the good texts that an epoch sees as a short piece: a piece of a good text is good, and texts may be short."""
 SLICE = 1 << 18
-"""Bytes scored at a time; bounds a worker's memory, not the text: a longer text is pooled slice by slice."""
+"""Bytes pooled at a time, whole steps; bounds a worker's memory, not the text: all texts are pooled slice by slice."""
 
 
 @dataclass
@@ -49,17 +49,37 @@ def steps(lengths: np.ndarray) -> np.ndarray:
     return np.maximum(1, -(-lengths // STEP))
 
 
-def _grid(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts laid out one after the other, each padded with zero bytes to whole steps: bytes, steps of each, valid positions."""
-    n = steps(np.array([len(t) for t in texts]))
-    flat = np.zeros(int(n.sum()) * STEP + WIDTH, np.uint8)
-    valid = np.zeros(int(n.sum()) * STEP, bool)
+def _pieces(texts: list[np.ndarray]) -> Iterator[list[tuple[np.ndarray, int]]]:
+    """Texts cut at whole steps into pieces of SLICE bytes at most, each with the bytes that filters read beyond it and the number
+    of positions it stands for; in groups of about SLICE positions."""
+    held, size = [], 0
+    for t in texts:
+        n = max(1, len(t))
+        for a in range(0, n, SLICE):
+            own = min(SLICE, n - a)
+            if held and size + own > SLICE:
+                yield held
+                held, size = [], 0
+            held.append((t[a : a + own + WIDTH - 1], own))
+            size += own
+    if held:
+        yield held
+
+
+def _grid(pieces: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces laid out one after the other, each followed by WIDTH - 1 zero bytes at least, so that no filter reads another text:
+    bytes, which steps hold positions, and valid positions."""
+    own = np.array([n for _, n in pieces])
+    room = steps(own + WIDTH - 1)
+    total = int(room.sum())
+    flat, valid, real = np.zeros(total * STEP + WIDTH, np.uint8), np.zeros(total * STEP, bool), np.zeros(total, bool)
     at = 0
-    for t, k in zip(texts, n, strict=True):
-        flat[at : at + len(t)] = t
-        valid[at : at + max(1, len(t))] = True
-        at += int(k) * STEP
-    return flat, n, valid
+    for (t, n), k, full in zip(pieces, room.tolist(), steps(own).tolist(), strict=True):
+        flat[at * STEP : at * STEP + len(t)] = t
+        valid[at * STEP : at * STEP + n] = True
+        real[at : at + full] = True
+        at += k
+    return flat, real, valid
 
 
 def _conv(tables: list[np.ndarray], flat: np.ndarray) -> np.ndarray:
@@ -73,6 +93,26 @@ def _conv(tables: list[np.ndarray], flat: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pool(tables: list[np.ndarray], texts: list[np.ndarray], winners: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Step maxima of all texts, steps of each text and, with winners, the bytes read and in them the place that won each maximum."""
+    pooled, read, place, at = [], [], [], 0
+    for group in _pieces(texts):
+        flat, real, valid = _grid(group)
+        act = _conv(tables, flat)
+        act[~valid] = -np.inf
+        act = act.reshape(-1, STEP, FILTERS)[real]
+        if winners:
+            where = act.argmax(axis=1)
+            pooled.append(np.take_along_axis(act, where[:, None, :], 1)[:, 0])
+            place.append(where + at + STEP * np.flatnonzero(real)[:, None])
+            read.append(flat)
+            at += len(flat)
+        else:
+            pooled.append(act.max(axis=1))
+    none = np.zeros((0, FILTERS), np.intp)
+    return np.vstack(pooled), steps(np.array([len(t) for t in texts])), np.concatenate(read or [np.zeros(0, np.uint8)]), np.vstack(place or [none])
+
+
 def _chunks(pooled: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Step maxima to chunk maxima (a step and the next one of the same text) and the first chunk of each text."""
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -82,29 +122,11 @@ def _chunks(pooled: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(tables: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
-    """Mean and maximum over the chunks of each text of the rectified chunk maxima."""
-    flat, n, valid = _grid(texts)
-    act = _conv(tables, flat)
-    act[~valid] = -np.inf
-    chunk, first = _chunks(act.reshape(-1, STEP, FILTERS).max(axis=1), n)
-    np.maximum(chunk, 0, out=chunk)
-    return np.hstack([np.add.reduceat(chunk, first, axis=0, dtype=np.float64) / n[:, None], np.maximum.reduceat(chunk, first, axis=0)])
-
-
-def long_features(tables: list[np.ndarray], text: np.ndarray) -> np.ndarray:
-    """The same for one text of any length, a slice of whole steps at a time."""
-    total = int(steps(np.array([len(text)]))[0])
-    pooled = []
-    for a in range(0, total * STEP, SLICE):
-        part = np.zeros(min(SLICE, total * STEP - a) + WIDTH, np.uint8)
-        own = text[a : a + len(part)]
-        part[: len(own)] = own
-        act = _conv(tables, part)
-        act[max(1, len(text)) - a :] = -np.inf
-        pooled.append(act.reshape(-1, STEP, FILTERS).max(axis=1))
-    chunk, _ = _chunks(np.vstack(pooled), np.array([total]))
-    np.maximum(chunk, 0, out=chunk)
-    return np.hstack([chunk.sum(axis=0, dtype=np.float64) / total, chunk.max(axis=0)])[None]
+    """Mean and maximum over the chunks of each text of the rectified chunk maxima. A text's row depends on that text alone."""
+    pooled, n, _, _ = _pool(tables, texts)
+    chunk, first = _chunks(pooled, n)
+    chunk = np.maximum(chunk, 0).astype(np.float64)
+    return np.hstack([np.add.reduceat(chunk, first, axis=0) / n[:, None], np.maximum.reduceat(chunk, first, axis=0)])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -137,12 +159,8 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Net:
         order = rng.permutation(len(rows))
         for b in range(0, len(order), BATCH):
             pick = order[b : b + BATCH]
-            flat, n, valid = _grid([_crop(data[i], rng) if y_all[i] and rng.random() < CROP else data[i] for i in pick])
-            act = _conv(net.tables(), flat)
-            act[~valid] = -np.inf
-            act = act.reshape(-1, STEP, FILTERS)
-            where = act.argmax(axis=1)
-            pooled = np.take_along_axis(act, where[:, None, :], 1)[:, 0]
+            texts = [_crop(data[i], rng) if y_all[i] and rng.random() < CROP else data[i] for i in pick]
+            pooled, n, flat, where = _pool(net.tables(), texts, winners=True)
             chunk, first = _chunks(pooled, n)
             k = len(chunk)
             step = np.arange(k)[:, None] + (chunk > pooled)  # the step that won each chunk
@@ -159,14 +177,13 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Net:
             # back to the byte positions that won
             f = np.broadcast_to(np.arange(FILTERS), (k, FILTERS)).ravel()
             s = step.ravel()
-            at = s * STEP + where[s, f]
+            at = where[s, f]
             g = d_chunk.ravel()
             live = g != 0
             f, at, g = f[live], at[live], g[live]
             d_embed, d_filters = np.zeros_like(net.embed), np.zeros_like(net.filters)
             for j in range(WIDTH):
-                by_byte = np.zeros((256, FILTERS))  # gradient of the tap's table
-                np.add.at(by_byte, (flat[at + j], f), g)
+                by_byte = np.bincount(flat[at + j].astype(np.intp) * FILTERS + f, g, 256 * FILTERS).reshape(256, FILTERS)  # gradient of the tap's table
                 d_embed += by_byte @ net.filters[j].T
                 d_filters[j] = net.embed.T @ by_byte
             grads = [d_embed, d_filters, np.bincount(f, g, FILTERS), np.hstack([mean, most]).T @ dz, np.array([dz.sum()])]
@@ -180,11 +197,11 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Net:
 
 
 def score_texts(net: Net, tables: list[np.ndarray], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The score of each text, the same in any company: a text's sums run in an order of their own."""
     out = np.zeros(len(offsets) - 1)
     for a, b in common.slices(offsets, SLICE):
-        texts = [data[offsets[i] : offsets[i + 1]] for i in range(a, b)]
-        x = long_features(tables, texts[0]) if len(texts) == 1 and len(texts[0]) > SLICE else features(tables, texts)
-        out[a:b] = sigmoid(x @ net.out + net.shift)
+        x = features(tables, [data[offsets[i] : offsets[i + 1]] for i in range(a, b)])
+        out[a:b] = sigmoid((x * net.out).sum(axis=1) + net.shift)
     return out
 
 
@@ -199,8 +216,9 @@ def _scores(net: Net):
 
 
 def score(df: DataFrame, net: Net, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns and score, from 0 to 1, of each row; null and empty texts have the score of a single zero byte."""
-    kept = df.select(*columns, F.col(text_col).alias("__text"))
+    """The named columns and score, from 0 to 1, of each row; a column of that name gives way to it. Null and empty texts have the
+    score of a single zero byte; texts of any length are read whole, repeated rows are each scored."""
+    kept = df.select(*[c for c in columns if c != "score"], F.col(text_col).alias(common.fresh("content", columns)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(common.lean(_scores(net)), f"{schema}, score double")
 
@@ -215,7 +233,7 @@ def _keep(net: Net, text: int, least: float):
 
 
 def accepted(docs: DataFrame, net: Net, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score least or more, all columns as they are."""
+    """The rows of docs that score least or more, all columns as they are, whatever their names; each row by its own text alone."""
     return docs.mapInArrow(common.lean(_keep(net, docs.columns.index(text_col), least)), docs.schema)
 
 
