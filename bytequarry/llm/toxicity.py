@@ -5,8 +5,8 @@ vectors of its bytes. Windows of WINDOW words that start every STRIDE words cove
 directions, its states are pooled by attention, and one unit scores the pooled state. The score of a text is that of its
 most toxic window. In training the gradient goes through that window.
 
-A window is a fixed number of steps for all windows of a slice at once; the input side of the gates is a table over the
-vocabulary plus a small product for the bytes.
+A window is a fixed number of steps for all windows of a slice at once; the input side of the gates is computed once for each
+distinct word of the slice.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .common import Words
 
 WINDOW, STRIDE = 24, 12
 HIDDEN, WORD, CHAR = 8, 6, 4
-LEAST_DOCS, MOST_WORDS = 3, 20_000
-"""Words of the vocabulary: those in so many fitted texts at least, so many at most (the most frequent)."""
+LEAST_DOCS = 3
+"""Words of the vocabulary: those in so many fitted texts at least; all others share a vector, beside that of their bytes."""
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 SLICE = 1 << 19
 """Bytes of text worked on at a time."""
@@ -60,8 +60,17 @@ def ids_of(vocabulary: np.ndarray, words: Words) -> np.ndarray:
     return np.where(vocabulary[at] == words.hash, at + 1, 0)
 
 
+def distinct(words: Words) -> tuple[Words, np.ndarray]:
+    """The distinct words, laid out one after the other, and for each word which of them it is."""
+    held, at, index = np.unique(words.hash, return_index=True, return_inverse=True)
+    length = words.end[at] - words.start[at]
+    end = np.cumsum(length)
+    place = np.repeat(words.start[at] - end + length, length) + np.arange(int(length.sum()))
+    return Words(words.data[place], end - length, end, held, np.array([0, len(at)])), index.ravel()
+
+
 def char_means(char: np.ndarray, words: Words, most: int = 50_000) -> np.ndarray:
-    """Mean of the byte vectors of each word, so many words at a time."""
+    """Mean of the byte vectors of each word, so many words at a time; words are in order of place."""
     out = np.zeros((len(words.start), char.shape[1]), char.dtype)
     for a in range(0, len(out), most):
         start, end = words.start[a : a + most], words.end[a : a + most]
@@ -117,34 +126,28 @@ def _pooled(states: np.ndarray, there: np.ndarray, att: np.ndarray, att_v: np.nd
     return a, np.einsum("tb,tbh->bh", a, states), hid
 
 
-def window_logits(t: dict[str, np.ndarray], ids: np.ndarray, chars: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
-    states = []
-    for d in "fb":
-        if len(ids):
-            gates = t[f"word_{d}"][ids[at]]
-            gates += (chars @ t[f"char_{d}"])[at]
-        else:
-            gates = np.zeros((*at.shape, 3 * HIDDEN), np.float32)
-        states.append(_direction(gates, there, t[f"rec_{d}"], d == "b"))
-    _, pooled, _ = _pooled(np.concatenate(states, axis=2), there, t["att"], t["att_v"])
-    return pooled @ t["out"] + t["shift"]
-
-
-def all_logits(t: dict[str, np.ndarray], ids: np.ndarray, chars: np.ndarray, at: np.ndarray, there: np.ndarray, most: int = 4096) -> np.ndarray:
-    """Of any number of windows, a bounded number at a time; windows are in the order of their words."""
+def gate_tables(t: dict[str, np.ndarray], vocabulary: np.ndarray, own: Words) -> dict[str, np.ndarray]:
+    """For each direction the input side of the gates by distinct word; one row of zeros where there are none."""
+    if not len(own.start):
+        return {d: np.zeros((1, 3 * HIDDEN), np.float32) for d in "fb"}
+    ids, chars = ids_of(vocabulary, own), char_means(t["char"], own)
+    return {d: t[f"word_{d}"][ids] + chars @ t[f"char_{d}"] for d in "fb"}
+
+
+def all_logits(t: dict[str, np.ndarray], gates: dict[str, np.ndarray], index: np.ndarray, at: np.ndarray, there: np.ndarray, most: int = 2048) -> np.ndarray:
+    """Of any number of windows, a bounded number at a time; index: the row of the gate tables of each word."""
     out = []
     for w in range(0, at.shape[1], most):
-        own, on = at[:, w : w + most], there[:, w : w + most]
-        low, high = int(own[0].min()), int(own.max()) + 1
-        low = min(low, int(own[on].min())) if on.any() else 0
-        out.append(window_logits(t, ids[low:high], chars[low:high], np.where(on, own - low, 0), on))
+        on = there[:, w : w + most]
+        own = index[at[:, w : w + most]] if len(index) else np.zeros(on.shape, np.intp)
+        states = np.concatenate([_direction(gates[d][own], on, t[f"rec_{d}"], d == "b") for d in "fb"], axis=2)
+        out.append(_pooled(states, on, t["att"], t["att_v"])[1] @ t["out"] + t["shift"])
     return np.concatenate(out)
 
 
 def _gradients(p: dict[str, np.ndarray], ids: np.ndarray, chars: np.ndarray, words: Words, at: np.ndarray, there: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean cross-entropy of the given windows, one for each text."""
-    x = np.hstack([p["word"][ids], chars]) if len(ids) else np.zeros((1, WORD + CHAR))
-    x = x[at] * there[:, :, None]
+    x = np.concatenate([p["word"][ids[at]], chars[at]], axis=2) * there[:, :, None] if len(ids) else np.zeros((*at.shape, WORD + CHAR))
     kept: dict[str, list] = {"f": [], "b": []}
     s = np.concatenate([_direction(x @ p[f"in_{d}"] + p[f"bias_{d}"], there, p[f"rec_{d}"], d == "b", kept[d]) for d in "fb"], axis=2)
     a, pooled, hid = _pooled(s, there, p["att"], p["att_v"])
@@ -191,11 +194,12 @@ def _gradients(p: dict[str, np.ndarray], ids: np.ndarray, chars: np.ndarray, wor
 def _vocabulary(words: Words, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the vocabulary and, for each, the smoothed log odds of the texts that hold it."""
     doc = np.repeat(np.arange(len(y)), np.diff(words.first))
-    pairs = np.unique(np.stack([words.hash, doc.astype(np.uint64)], 1), axis=0) if len(doc) else np.zeros((0, 2), np.uint64)
-    vocab, index, count = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
-    ones = np.bincount(index, y[pairs[:, 1].astype(np.intp)], len(vocab))
+    order = np.lexsort((doc, words.hash))
+    held, doc = words.hash[order], doc[order]
+    new = np.concatenate([[True], (held[1:] != held[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, bool)
+    vocab, index, count = np.unique(held[new], return_inverse=True, return_counts=True)
+    ones = np.bincount(index, y[doc[new]], len(vocab))
     keep = np.flatnonzero(count >= LEAST_DOCS)
-    keep = np.sort(keep[np.argsort(-count[keep], kind="stable")[:MOST_WORDS]])
     share = y.mean()
     odds = np.log((ones[keep] + 2 * share) / (count[keep] - ones[keep] + 2 * (1 - share))) - np.log(share / (1 - share))
     return vocab[keep], odds
@@ -220,13 +224,15 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Net:
     p["out"][:] = rng.normal(0, 0.3, 2 * HIDDEN)
     p["shift"][0] = -1
     ids = ids_of(vocabulary, words)
+    own, index = distinct(words)
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     at, there, begin = windows(words.first)
     for epoch in range(EPOCHS):
         # the most toxic window of each text, by the net as it stands
-        logits = all_logits(net.tables(), ids, char_means(p["char"].astype(np.float32), words), at, there)
+        tables = net.tables()
+        logits = all_logits(tables, gate_tables(tables, vocabulary, own), index, at, there)
         best = np.array([b + np.argmax(logits[b:e]) for b, e in zip(begin, [*begin[1:], len(logits)], strict=True)])
-        chars = char_means(p["char"], words)  # as of the epoch's start
+        chars = char_means(p["char"], own)[index]  # as of the epoch's start
         order = rng.permutation(len(y))
         for b in range(0, len(order), BATCH):
             pick = order[b : b + BATCH]
@@ -245,8 +251,8 @@ def score_texts(net: Net, tables: dict[str, np.ndarray], data: np.ndarray, offse
     for a, b in common.slices(offsets, SLICE):
         words = words_of(data, offsets[a : b + 1])
         at, there, begin = windows(words.first)
-        ids, chars = ids_of(net.vocabulary, words), char_means(tables["char"], words)
-        logits = all_logits(tables, ids, chars, at, there)
+        own, index = distinct(words)
+        logits = all_logits(tables, gate_tables(tables, net.vocabulary, own), index, at, there)
         out[a:b] = _sigmoid(np.maximum.reduceat(logits, begin).astype(np.float64))
     return out
 
@@ -262,8 +268,9 @@ def _scores(net: Net):
 
 
 def score(df: DataFrame, net: Net, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns and score, from 0 to 1, of each row; null and empty texts have the score of an empty window."""
-    kept = df.select(*columns, F.col(text_col).alias("__text"))
+    """The named columns and score, from 0 to 1, of each row; a column of that name gives way to it. Null and empty texts, and
+    those without words, have the score of an empty window; texts of any length are read whole, repeated rows are each scored."""
+    kept = df.select(*[c for c in columns if c != "score"], F.col(text_col).alias(common.fresh("content", columns)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(common.lean(_scores(net)), f"{schema}, score double")
 

@@ -283,14 +283,38 @@ def test_quality_learns(words):
     assert (s >= 0).all() and (s <= 1).all()
 
 
-def test_quality_reads_whole_texts(words, monkeypatch):
-    net = quality.train([(words(30, i), i % 2) for i in range(40)])
+def slow_quality(net, text):
+    """The forward pass by its definition, position by position."""
+    raw = text.encode()
+    n = max(1, len(raw))
+    at = lambda p: raw[p] if p < len(raw) else 0
+    act = [net.bias + sum(net.embed[at(p + j)] @ net.filters[j] for j in range(quality.WIDTH)) for p in range(n)]
+    starts = range(0, n, quality.STEP)
+    chunks = [np.maximum(np.max(act[s : s + 2 * quality.STEP], axis=0), 0) for s in starts]
+    z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ net.out + net.shift[0]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_quality_scores_a_text_alone_as_in_company(words, monkeypatch):
+    net = quality.train([(words(30, i) + (" $$$" if i % 2 else ""), i % 2) for i in range(40)])
     long = words(4000, 3)
-    one = scored(quality, net, [long])
+    texts = ["", "a", *(long[:n] for n in (*range(120, 131), *range(250, 260), 384, 1000)), long]
+    alone = [scored(quality, net, [t])[0] for t in texts]
+    assert alone == pytest.approx([slow_quality(net, t) for t in texts], abs=1e-5)
+    for order in (texts, texts[::-1], ["zzzz" * 40, *texts, "\xff" * 300]):
+        got = dict(zip(order, scored(quality, net, order), strict=True))
+        assert [got[t] for t in texts] == alone
     monkeypatch.setattr(quality, "SLICE", 1024)
-    assert scored(quality, net, [long]) == pytest.approx(one, rel=1e-6)
-    tables, raw = net.tables(), np.frombuffer(long.encode(), np.uint8)
-    assert quality.long_features(tables, raw) == pytest.approx(quality.features(tables, [raw]), rel=1e-6)
+    assert scored(quality, net, texts).tolist() == alone
+
+
+def test_quality_gradients_train_on_long_texts(words, monkeypatch):
+    """Training sees whole texts, in pieces or not."""
+    rows = [(words(700, i) + (" $$$ ### " * 3 if i % 2 else ""), i % 2) for i in range(24)]
+    one = quality.train(rows)
+    monkeypatch.setattr(quality, "SLICE", 1024)
+    two = quality.train(rows)
+    assert two.out == pytest.approx(one.out) and two.filters == pytest.approx(one.filters)
 
 
 def test_toxicity_learns(words):
@@ -304,6 +328,56 @@ def test_toxicity_learns(words):
     assert np.mean((s >= 0.5) == np.array([y for _, y in rows[300:]])) > 0.9
 
 
+def slow_toxicity(net, text):
+    """The forward pass by its definition, one window and one word at a time."""
+    p = net.p
+    found = re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")))
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(w):
+        h = common.split_words(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hash[0]
+        known = np.flatnonzero(net.vocabulary == h)
+        return np.concatenate([p["word"][known[0] + 1 if len(known) else 0], np.mean([p["char"][b] for b in w], axis=0)])
+
+    def states(xs, d):
+        h, out = np.zeros(toxicity.HIDDEN), []
+        for x in xs:
+            own, side, k = x @ p[f"in_{d}"] + p[f"bias_{d}"], h @ p[f"rec_{d}"], toxicity.HIDDEN
+            r, z = logistic(own[:k] + side[:k]), logistic(own[k : 2 * k] + side[k : 2 * k])
+            h = (1 - z) * np.tanh(own[2 * k :] + r * side[2 * k :]) + z * h
+            out.append(h)
+        return out
+
+    logits = []
+    for a in range(0, max(1, len(found) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        xs = [vector(w) for w in found[a : a + toxicity.WINDOW]]
+        both = np.array([np.concatenate(x) for x in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)])
+        pooled = np.zeros(2 * toxicity.HIDDEN)
+        if len(xs):
+            e = np.exp(np.tanh(both @ p["att"]) @ p["att_v"])
+            pooled = (e / e.sum()) @ both
+        logits.append(pooled @ p["out"] + p["shift"][0])
+    return logistic(max(logits))
+
+
+def test_toxicity_scores_by_definition(words):
+    rows = [(words(30 + i % 40, i) + (" moron" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
+    net = toxicity.train(rows)
+    texts = ["", "...", "Moron", words(24, 1), words(25, 2) + " MORON!", words(200, 3), "é漢字 naïve moron", "moron " * 3000]
+    want = [slow_toxicity(net, t) for t in texts[:-1]]
+    assert scored(toxicity, net, texts[:-1]) == pytest.approx(want, abs=1e-4)
+    assert [scored(toxicity, net, [t])[0] for t in texts] == pytest.approx(scored(toxicity, net, texts), abs=1e-6)
+
+
+def test_networks_leave_clashing_columns_alone(spark, words):
+    docs = spark.createDataFrame([(1, words(9, 1), 0.5, "a", "b"), (1, None, None, None, None)], "doc_id long, text string, score double, content string, CONTENT_ string")
+    for module in (quality, toxicity):
+        net = module.train([(words(20, i), i % 2) for i in range(8)])
+        out = module.score(docs, net, docs.columns)
+        assert out.columns == ["doc_id", "text", "content", "CONTENT_", "score"] and sorted(r["content"] or "" for r in out.collect()) == ["", "a"]
+    assert quality.accepted(docs, quality.train([]), 0.0).collect() == docs.collect()
+
+
 def test_toxicity_gradients():
     """Against differences."""
     rows = [("a bad bad word here", 1), ("some good words", 0), ("bad again", 1), ("good again here", 0)] * 3
