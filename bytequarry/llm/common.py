@@ -17,6 +17,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 20
 """Texts are worked on in slices of about this many bytes, so that a worker's memory does not depend on the batch size."""
@@ -46,17 +47,31 @@ def spool(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    system, hadoop = _file_system(spark, path)
+    system.deleteOnExit(hadoop)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, hadoop = _file_system(spark, path)
+    return system.exists(hadoop)
+
+
 def drop_spooled(df: DataFrame) -> None:
     """Deletes a spooled table that no later step reads."""
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        system, hadoop = _file_system(spark, file)
+        system.delete(hadoop.getParent(), True)
 
 
 def fresh(name: str, taken: Iterable[str]) -> str:
@@ -115,6 +130,16 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
+def map_rows(df: DataFrame, run: Callable, drop: int = 0, **added: str) -> DataFrame:
+    """df.mapInArrow(run) for columns of any name: run sees them by place, leaves out the last few and adds the named ones."""
+    names = df.columns[: len(df.columns) - drop]
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    schema = StructType(plain.schema.fields[: len(names)])
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+    return plain.mapInArrow(lean(run), schema).toDF(*names, *added)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over uint64."""
     x = x ^ (x >> np.uint64(30))

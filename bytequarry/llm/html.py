@@ -295,10 +295,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def main_text(pages: DataFrame, columns: list[str], html_col: str = "html") -> DataFrame:
-    """The named columns, text and n_chars (code points) for each row; rows and repeated ids stay as they are."""
-    kept = pages.select(*columns, F.col(html_col).alias("__html"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(common.lean(_extract), f"{schema}, text string, n_chars bigint")
+    """The named columns, text and n_chars (code points) for each row; columns of those two names give way to them. Rows and
+    repeated ids stay as they are; null and empty pages have an empty text, pages of any length are read whole."""
+    kept = pages.select(*[F.col(f"`{c}`") for c in columns if c.lower() not in ("text", "n_chars")], F.col(html_col).alias(common.fresh("content", columns)))
+    return common.map_rows(kept, _extract, drop=1, text="string", n_chars="long")
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,15 +4,18 @@ One permutation scrambles the hashed shingles over a universe of 2**20 places; a
 gives all K signature coordinates: coordinate k is the least second[(first(x) + k) mod 2**20] over the shingles x, so one
 shingle costs one contiguous read of K numbers.
 
-Documents with equal shingle sets form a class first (a grouping by a 128-bit set digest) and one of each class goes on.
-Classes that share a band are candidates. Pairs are never expanded within a bucket: each bucket names a leader, members are
-verified against it on the full sets, components are formed, and a bucket whose members lie in one component is done.
+Rows with equal shingle sets form a class first (a grouping by a 128-bit set digest) and one of each class goes on, known by a
+key of its row, so that an id that holds several texts stands for all of them. Classes that share a band are candidates. Pairs
+are never expanded within a bucket: each bucket names a leader, members are verified against it on the full sets, components are
+formed, and a bucket whose members lie in one component is done. The leader's text is dealt to the members of a large bucket
+in shares of SHARE members, so that no leader is one task's work.
 
 What is left are families that lie around a leader without being linked to it. They are written as differences to the
 leader's set. The symmetric difference of two members is that of their differences, so their exact similarity follows from
 how many differing shingles they share; an inverted index over these, which are few and mostly rare, finds every linked
 pair of a family without forming the others. A pair that shares no differing shingle is either far apart or, by the
-triangle inequality, linked to the leader on both sides. Large families are dealt out in blocks that meet pairwise.
+triangle inequality, linked to the leader on both sides. Families are dealt out in blocks that meet pairwise, more of them the
+larger the family is.
 
 With 32 bands of 5 rows a pair at the threshold 0.85 is missed with probability 1e-8, one at 0.8 with 4e-6.
 """
@@ -24,6 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +37,12 @@ UNIVERSE = 1 << 20
 BANDS, ROWS = 32, 5
 K = BANDS * ROWS
 SEED = 5
-FAMILY = 500_000
-"""Differing shingles in a block of a family."""
+FAMILY, SPREAD = 500_000, 4000
+"""A family of n differing shingles is dealt out in the greater of n / FAMILY (which bounds a task's memory) and the root of
+n / SPREAD (which shares out the work of small ones) blocks."""
+SHARE = 500
+"""Members that one copy of their leader's text serves."""
+SALT = 16
 _TABLE: dict[int, np.ndarray] = {}
 
 
@@ -89,10 +97,10 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
+        none, part, serial = np.zeros(0, np.uint64), TaskContext.get().partitionId(), 0
         for batch in batches:
             size, one, two, bands = [], [], [], []
-            for own in shingle_sets(batch.column(1), n):
+            for own in shingle_sets(batch.column(2), n):
                 size.append(len(own))
                 one.append(int(common.mix64(own).sum(dtype=np.uint64)))
                 two.append(int(common.mix64(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)))
@@ -100,14 +108,21 @@ def _sketch(n: int):
             flat = np.concatenate([*bands, none.view(np.int64)])
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), signed(one), signed(two), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n_shingles", "set_a", "set_b", "bands"])
+            row = pa.array(np.arange(serial, serial + len(size)) | part << 32, pa.int64())
+            serial += len(size)
+            yield pa.RecordBatch.from_arrays([row, *batch.columns[:2], pa.array(size, pa.int64()), signed(one), signed(two), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["row", "id", "text_hash", "n_shingles", "set_a", "set_b", "bands"])
 
     return run
 
 
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    content = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(content).alias("text_hash"), content.alias("content"))
+
+
 def sketch(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content"))
-    return rows.mapInArrow(common.lean(_sketch(n)), "id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
+    """For each row a key of its own (fixed once written), its set's size and digest, and its band keys."""
+    return _rows(df, id_col, text_col).mapInArrow(common.lean(_sketch(n)), "row bigint, id bigint, text_hash bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
 def _verify(n: int, above: int, below: int):
@@ -180,54 +195,62 @@ def _families(threshold: Fraction):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """Of pairs (a, b) those whose sets are as similar as the threshold; texts has (id, content), one row for an id."""
-    left = texts.select(F.col("id").alias("a"), F.col("content").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("content").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(common.lean(_verify(n, threshold.numerator, threshold.denominator)), "a bigint, b bigint")
+def beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, leader, members, ...) with text_a and text_leader; texts has (row, content). A leader's text is copied once for
+    each SHARE of its members, and members are dealt to the copies."""
+    dealt = pairs.withColumn("share", F.pmod(F.xxhash64("a"), F.ceil(F.col("members") / SHARE)).cast("int"))
+    heads = dealt.select("leader", "share").distinct().join(texts.select(F.col("row").alias("leader"), F.col("content").alias("text_leader")), "leader")
+    own = dealt.join(texts.select(F.col("row").alias("a"), F.col("content").alias("text_a")), "a")
+    return own.join(heads, ["leader", "share"]).drop("share", "members")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """(id, n_shingles, component_id) for each row.
 
-    Components are those of all pairs at the threshold; component_id is the smallest id in it. Null texts are empty; a
-    document without words is linked with nothing. Rows with a null id take no part and have a null component. Rows that
-    repeat an id are one document to the links; if their texts differ each stands for the id."""
+    Components are those of all pairs at the threshold; component_id is the smallest id in it. Null texts are empty; a document
+    without words is linked with nothing. Rows with a null id take no part and have a null component. Rows that repeat an id are
+    one document to the links: if their texts differ, whatever is near to any of them is linked to the id. Texts are read whole."""
     rows = common.spool(sketch(df, id_col, text_col, n), "minhash-sketch")
     some = rows.filter("n_shingles > 0 and id is not null")
-    by_set = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"))
-    member = common.spool(some.select("id", "set_a", "set_b", "n_shingles").distinct().join(by_set, ["set_a", "set_b", "n_shingles"]).select("id", "rep").distinct(), "minhash-member")
-    keys = some.join(member.filter("id = rep").select("id"), "id", "left_semi").select(F.col("id").alias("rep"), F.explode("bands").alias("key")).distinct()
+    of_set = ["set_a", "set_b", "n_shingles"]
+    by_set = some.groupBy(*of_set).agg(F.min(F.struct("id", "row", "text_hash")).alias("rep")).select(*of_set, F.col("rep.id").alias("rep_id"), F.col("rep.row").alias("rep"), F.col("rep.text_hash").alias("rep_hash"))
+    reps = common.spool(by_set.select("rep", "rep_id", "rep_hash"), "minhash-reps")
+    # Rows whose class is named after another id; the digest's join is by distinct (id, set), so that copies of a row are one.
+    copies = common.spool(some.select("id", *of_set).distinct().join(by_set, of_set).filter("id <> rep_id").select(F.col("id").alias("a"), F.col("rep_id").alias("b")).distinct(), "minhash-copies")
+    keys = some.join(reps.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.explode("bands").alias("key"))
+    keys = keys.distinct()
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = common.spool(keys.join(shared, "key"), "minhash-buckets")
     popular = buckets.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("weight"))
-    weighed = common.spool(buckets.join(popular, "rep").select("key", "rep", "weight"), "minhash-weighed")
+    weighed = common.spool(buckets.join(popular, "rep").select("key", "rep", "weight", "size"), "minhash-weighed")
     common.drop_spooled(buckets)
-    # The texts that any pair can need, one for each id.
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content"))
-    texts = common.spool(texts.join(weighed.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
-    # A class whose copies carry several ids links them all to the class's first.
-    copies = member.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    # The texts that any pair can need, one for each class.
+    wanted = reps.join(weighed.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("row"), F.col("rep_id").alias("id"), F.col("rep_hash").alias("text_hash"))
+    texts = common.spool(_rows(df, id_col, text_col).join(wanted.hint("shuffle_hash"), ["id", "text_hash"]).select("row", "content").dropDuplicates(["row"]), "minhash-texts")
     lead = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("lead")).select("key", (-F.col("lead.minus")).alias("leader"))
-    led = common.spool(weighed.select("key", "rep").join(lead, "key"), "minhash-led")
-    stars = led.filter("rep <> leader").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
-    links = common.spool(verified(stars, texts, n, threshold), "minhash-links")
+    led = common.spool(weighed.select("key", "rep", "size").join(lead, "key"), "minhash-led")
+    stars = led.filter("rep <> leader").groupBy(F.col("rep").alias("a"), "leader").agg(F.max("size").alias("members"))
+    verify = _verify(n, threshold.numerator, threshold.denominator)
+    links = common.spool(beside(stars, texts).select("a", "leader", "text_a", "text_leader").mapInArrow(common.lean(verify), "a bigint, b bigint"), "minhash-links")
     found = graph.components(links, "minhash-components")
     placed = led.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     unsettled = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    members = placed.join(unsettled, "key", "left_semi").filter("rep <> leader").select(F.col("rep").alias("a"), "leader", "component").distinct()
-    own, leaders = texts.select(F.col("id").alias("a"), F.col("content").alias("text_a")), texts.select(F.col("id").alias("leader"), F.col("content").alias("text_leader"))
-    families = members.join(leaders, "leader").join(own, "a").select("a", "leader", "component", "text_a", "text_leader")
+    members = placed.join(unsettled, "key", "left_semi").filter("rep <> leader").groupBy(F.col("rep").alias("a"), "leader", "component").agg(F.max("size").alias("members"))
+    families = beside(members, texts).select("a", "leader", "component", "text_a", "text_leader")
     families = common.spool(families.mapInArrow(common.lean(_differences(n)), "a bigint, leader bigint, component bigint, size bigint, many bigint, differs binary"), "minhash-families")
-    blocks = families.groupBy("leader").agg(F.ceil(F.sum("many") / FAMILY).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    dealt = families.join(blocks, "leader").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    total = F.sum("many")
+    blocks = families.groupBy("leader").agg(F.greatest(F.ceil(total / FAMILY), F.ceil(F.sqrt(total / SPREAD)), F.lit(1)).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = families.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int")).join(salted, ["leader", "salt"]).drop("salt")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("a", F.lit(1)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("leader", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "a", "size", "component", "block", "differs")
-    # The join on leader has left all blocks of a leader in one place.
     more = common.spool(dealt.repartition("leader", "low", "high").groupBy("leader", "low", "high").applyInArrow(_families(threshold), "a bigint, b bigint").distinct(), "minhash-more")
-    joined = graph.components(links.union(more).union(copies), "minhash-components")
+    # From classes to ids; a class and another one of the same id need no link.
+    name = lambda side: reps.select(F.col("rep").alias(side), F.col("rep_id").alias(f"{side}_id"))
+    between = links.union(more).join(name("a"), "a").join(name("b"), "b").filter("a_id <> b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    joined = graph.components(between.union(copies), "minhash-components")
     # joined and the sketches are all that the result reads
-    for done in (weighed, texts, led, links, found, families, more, member):
+    for done in (weighed, texts, led, links, found, families, more, copies, reps):
         common.drop_spooled(done)
     return rows.select("id", "n_shingles").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
@@ -238,6 +261,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: of five-word shingles, similarity 0.8 or more, that with the smallest id."""
-    gone = classes(docs, n=5, threshold=Fraction(4, 5)).filter("id <> component_id").select(F.col("id").alias("doc_id"))
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group stays: of five-word shingles, similarity 0.8 or more, that with the smallest id (rows that repeat
+    it stay with it). Rows with a null id stay."""
+    gone = classes(docs, n=5, threshold=Fraction(4, 5)).filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

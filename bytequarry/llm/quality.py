@@ -218,9 +218,8 @@ def _scores(net: Net):
 def score(df: DataFrame, net: Net, columns: list[str], text_col: str = "text") -> DataFrame:
     """The named columns and score, from 0 to 1, of each row; a column of that name gives way to it. Null and empty texts have the
     score of a single zero byte; texts of any length are read whole, repeated rows are each scored."""
-    kept = df.select(*[c for c in columns if c != "score"], F.col(text_col).alias(common.fresh("content", columns)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(common.lean(_scores(net)), f"{schema}, score double")
+    kept = df.select(*[F.col(f"`{c}`") for c in columns if c.lower() != "score"], F.col(text_col).alias(common.fresh("content", columns)))
+    return common.map_rows(kept, _scores(net), drop=1, score="double")
 
 
 def _keep(net: Net, text: int, least: float):
@@ -234,7 +233,7 @@ def _keep(net: Net, text: int, least: float):
 
 def accepted(docs: DataFrame, net: Net, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs that score least or more, all columns as they are, whatever their names; each row by its own text alone."""
-    return docs.mapInArrow(common.lean(_keep(net, docs.columns.index(text_col), least)), docs.schema)
+    return common.map_rows(docs, _keep(net, docs.columns.index(text_col), least))
 
 
 def fit(spark: SparkSession, sf_dir: str, folds: int = 4, held_out: int = 2) -> Net:

@@ -1,8 +1,10 @@
 """Secret scans by an incremental blob ledger.
 
 Every version of every path is content-addressed (SHA-256). The ledger holds one row for each blob and rule version that
-was scanned, with the spans found, empty ones included. A scan looks only at the pairs the ledger lacks; the findings of
-all pairs, old and new, are then joined back to every path that holds the blob.
+was scanned, with the spans found, empty ones included. It is a folder of Parquet files that each run appends to: a scan looks
+only at the pairs the ledger lacks, and the findings of all pairs, old and new, are then joined back to every path that holds
+the blob. LEDGER names the session setting with the folder that runs share; without it a run starts a ledger of its own in the
+cluster's shared folder.
 
 Only digests and ids are grouped and joined. The text of an unseen blob is fetched once, from the version with the
 smallest id, by a hash join that builds on the ids, so no text is sorted and copies are never scanned twice.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -61,6 +64,8 @@ PEM = (
 )
 MASKED = BASE + (Rule("pem", PEM, needs=("PRIVATE KEY-----",), version=2), MORE[1])
 SPANS = "array<struct<kind:string,start:int,stop:int>>"
+ENTRY = f"blob string, rule string, spans {SPANS}"
+LEDGER = "spark.bytequarry.secrets.ledger"
 
 
 @lru_cache
@@ -111,14 +116,14 @@ def address(versions: DataFrame, id_col: str, content_col: str) -> DataFrame:
 def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", content_col: str = "text") -> DataFrame:
     """Ledger rows (blob, rule, spans) for the pairs of blob and rule version that the ledger lacks.
 
-    versions may hold further columns of any name, null ids and contents, and repeated rows; a row that is repeated with its
-    id and content may be scanned as often."""
+    versions may hold further columns of any name, null ids and contents (null is empty), and repeated rows; a row that is
+    repeated with its id and content may be scanned as often. Texts of any length are scanned whole."""
     all_rules = F.array(*[F.lit(r.key) for r in rules])
     blobs = address(versions, id_col, content_col).groupBy("blob").agg(F.min("version_id").alias("version_id"))
     if ledger is None:
         todo = blobs.withColumn("todo", all_rules)
     else:
-        seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        seen = ledger.filter(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(all_rules, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen").filter(F.size("todo") > 0)
     texts = versions.select(F.col(id_col).alias("version_id"), F.col(content_col).alias("content"))
     # A repeated id may hold other contents: the blob is matched as well.
@@ -126,7 +131,30 @@ def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     todo = todo.select(F.col("version_id").alias("first_id"), F.col("blob").alias("first_blob"), "todo")
     same = F.col("version_id").eqNullSafe(F.col("first_id")) & (F.col("blob") == F.col("first_blob"))
     fetched = texts.join(todo.hint("shuffle_hash"), same).select("blob", "content", "todo")
-    return fetched.mapInArrow(common.lean(_scan(rules)), f"blob string, rule string, spans {SPANS}")
+    return fetched.mapInArrow(common.lean(_scan(rules)), ENTRY)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The folder that the session names, else one of this run's own, which goes when the application ends."""
+    named = spark.conf.get(LEDGER, None)
+    if named:
+        return named
+    path = f"{common.shared_dir(spark)}/secrets-ledger-{uuid.uuid4().hex}"
+    common.delete_on_exit(spark, path)
+    return path
+
+
+def open_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    return spark.read.schema(ENTRY).parquet(folder) if common.exists(spark, folder) else None
+
+
+def extend(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", content_col: str = "text") -> DataFrame:
+    """Scans the pairs that the ledger at folder lacks, appends them to it and returns the whole ledger.
+
+    An entry that two runs add at the same time does no harm: findings take each span once."""
+    spark = versions.sparkSession
+    scan_new(versions, open_ledger(spark, folder), rules, id_col, content_col).write.option("compression", "zstd").mode("append").parquet(folder)
+    return open_ledger(spark, folder)
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", content_col: str = "text") -> DataFrame:
@@ -170,23 +198,25 @@ def _mask(text: int, count: int | None):
     return run
 
 
-def masked(docs: DataFrame, ledger: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
-    """docs with all spans of the ledger masked in its texts and, where there is such a column, its count of characters set
-    anew; all other columns and rows as they are."""
-    spans = ledger.filter(F.size("spans") > 0).groupBy(F.col("blob").alias("__blob")).agg(F.flatten(F.collect_list("spans")).alias("__spans"))
-    addressed = docs.withColumn("__blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    joined = addressed.join(spans.hint("shuffle_hash"), "__blob", "left").select(*docs.columns, "__spans")
-    return joined.mapInArrow(common.lean(_mask(docs.columns.index(text_col), docs.columns.index(count_col) if count_col in docs.columns else None)), docs.schema)
+def masked(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = MASKED, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """docs with what the ledger holds under these rules masked in its texts and, where there is such a column, its count of
+    characters set anew; all other columns and rows as they are, whatever their names. Null texts stay null."""
+    blob, found = common.fresh("blob", docs.columns), common.fresh("spans", docs.columns)
+    current = ledger.filter(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
+    spans = current.groupBy(F.col("blob").alias(blob)).agg(F.flatten(F.collect_list("spans")).alias(found))
+    addressed = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    joined = addressed.join(spans.hint("shuffle_hash"), blob, "left").select(*[F.col(f"`{c}`") for c in docs.columns], found)
+    return common.map_rows(joined, _mask(docs.columns.index(text_col), docs.columns.index(count_col) if count_col in docs.columns else None), drop=1)
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; what the scan finds in it is masked."""
-    return masked(docs, common.spool(scan_new(docs, rules=MASKED), "secrets-ledger"))
+    return masked(docs, extend(docs, new_folder(spark), MASKED))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = findings(documents, scan_new(documents))
+    found = findings(documents, extend(documents, new_folder(spark)))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -270,9 +270,8 @@ def _scores(net: Net):
 def score(df: DataFrame, net: Net, columns: list[str], text_col: str = "text") -> DataFrame:
     """The named columns and score, from 0 to 1, of each row; a column of that name gives way to it. Null and empty texts, and
     those without words, have the score of an empty window; texts of any length are read whole, repeated rows are each scored."""
-    kept = df.select(*[c for c in columns if c != "score"], F.col(text_col).alias(common.fresh("content", columns)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(common.lean(_scores(net)), f"{schema}, score double")
+    kept = df.select(*[F.col(f"`{c}`") for c in columns if c.lower() != "score"], F.col(text_col).alias(common.fresh("content", columns)))
+    return common.map_rows(kept, _scores(net), drop=1, score="double")
 
 
 def fit(spark: SparkSession, sf_dir: str, folds: int = 5, held_out: int = 0) -> Net:

@@ -153,6 +153,34 @@ def test_minhash(documents, words, n, threshold):
     assert got == slow_components(rows, n, threshold)
 
 
+@pytest.mark.parametrize("family,spread,share", [(40, 10**9, 3), (10**9, 5, 2)])
+def test_minhash_with_families_in_many_blocks(documents, words, monkeypatch, family, spread, share):
+    """Leaders with several copies of their text, families of many blocks that meet pairwise."""
+    for name, value in (("FAMILY", family), ("SPREAD", spread), ("SHARE", share)):
+        monkeypatch.setattr(minhash, name, value)
+    rnd, rows = random.Random(12), []
+    base = words(60, 3).split()
+    spots = [rnd.sample(range(60), 6) for _ in range(6)]  # near to the leader all, near to each other in groups
+    for i in range(140):
+        w = list(base)
+        for k in spots[i % 6][: 1 + i % 5]:
+            w[k] = f"{i % 6}w{k}"
+        if i % 4 == 0:
+            w[rnd.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in minhash.classes(documents(rows), n=3, threshold=Fraction(85, 100)).collect()}
+    want = slow_components(rows, 3, Fraction(85, 100))
+    assert got == want and 1 < len({c for _, c in want.values()}) < 140
+
+
+def test_minhash_with_several_texts_under_an_id(documents, words):
+    one, two, three = words(60, 31), words(60, 32), words(60, 33)
+    rows = [(5, one), (5, two), (7, one + " more"), (9, two + " more"), (9, three), (8, three + " end"), (5, None), (4, words(60, 34)), (4, ""), (3, "short"), (2, words(60, 34)), (6, words(60, 35)), (6, words(60, 35))]
+    got = {(r["id"], r["component_id"]) for r in minhash.classes(documents(rows).repartition(3)).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (8, 5), (4, 2), (2, 2), (3, 3), (6, 6)}
+    assert minhash.classes(documents(rows)).count() == len(rows)
+
+
 def test_minhash_of_odd_tables(documents, words):
     assert minhash.classes(documents([]).limit(0)).count() == 0
     text = words(30, 1)

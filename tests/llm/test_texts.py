@@ -62,9 +62,40 @@ def test_secret_query(spark, documents, tmp_path):
         assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == slow_secrets(dict(SECRETS)[r["doc_id"]])
 
 
+def test_ledger_of_many_runs(spark, documents, tmp_path):
+    """A second run reads the ledger, scans nothing and finds the same; a later one scans what is new."""
+    folder = str(tmp_path / "ledger")
+    documents(SECRETS).write.parquet(str(tmp_path / "one" / "documents.parquet"))
+    documents([*SECRETS, (99, "secret: brandnew1")]).write.parquet(str(tmp_path / "two" / "documents.parquet"))
+    held = lambda: secrets.open_ledger(spark, folder).count() if secrets.open_ledger(spark, folder) else 0
+    blobs = len({t or "" for _, t in SECRETS})
+    spark.conf.set(secrets.LEDGER, folder)
+    try:
+        first = sorted(secrets.op2_secrets(spark, str(tmp_path / "one")).collect())
+        assert held() == blobs * len(secrets.RULES)
+        assert sorted(secrets.op2_secrets(spark, str(tmp_path / "one")).collect()) == first and held() == blobs * len(secrets.RULES)
+        secrets.op2_secrets(spark, str(tmp_path / "two"))
+        assert held() == (blobs + 1) * len(secrets.RULES)
+        masked = secrets.stage_secrets(spark, documents(SECRETS), "").collect()  # another version of one rule
+        assert held() == (blobs + 1) * len(secrets.RULES) + blobs and len(masked) == len(SECRETS)
+        again = secrets.open_ledger(spark, folder)
+        again.limit(20).write.mode("append").parquet(folder)  # entries that two runs have added
+        assert sorted(secrets.op2_secrets(spark, str(tmp_path / "one")).collect()) == first
+    finally:
+        spark.conf.unset(secrets.LEDGER)
+    assert sorted(secrets.op2_secrets(spark, str(tmp_path / "one")).collect()) == first and held() == (blobs + 1) * len(secrets.RULES) + blobs + 20
+
+
+def test_masking_leaves_clashing_columns_alone(spark):
+    docs = spark.createDataFrame([(1, f"x {TOKEN}", "b", "s", "c"), (1, f"x {TOKEN}", "b", "s", "c"), (2, None, None, None, None)], "doc_id long, text string, blob string, Spans string, `a.b` string")
+    out = secrets.masked(docs, secrets.scan_new(docs, rules=secrets.MASKED).cache())
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"], r["blob"], r["Spans"], r["a.b"]) for r in out.collect() if r["text"]) == [(1, 'x [secret]"', "b", "s", "c")] * 2 and out.count() == 3
+
+
 def test_masking(documents):
     docs = documents([*SECRETS, (None, f"x {TOKEN}"), (3, "other text")])
-    out = secrets.masked(docs, secrets.scan_new(docs).cache())
+    out = secrets.masked(docs, secrets.scan_new(docs).cache(), secrets.RULES)
     assert out.columns == docs.columns
     got = sorted((r["doc_id"] or -1, r["text"] or "", r["n_chars"] or 0) for r in out.collect())
     want = []
