@@ -195,7 +195,7 @@ def _found(docs: DataFrame, items: DataFrame, threshold: float, id_col: str | No
     known = common.spool(asked.mapInArrow(_items, "item_key bigint, item_id bigint, least int, words array<bigint>, seeds array<bigint>"), "tiling-items")
     seeds = known.select("item_key", F.explode("seeds").alias("seed"))
     lengths = sorted(r["least"] for r in known.select("least").distinct().collect())  # at most SEED values
-    bits = min(FILTER_BITS, max(12, (64 * seeds.count()).bit_length()))
+    bits = min(FILTER_BITS, max(12, (2048 * seeds.count()).bit_length()))
     marked = seeds.select(F.shiftrightunsigned("seed", 64 - bits).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
     words = marked.agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits")).toArrow()
     marks = np.zeros(1 << (bits - 6), np.uint64)
@@ -226,7 +226,7 @@ def without(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, tex
     gone = common.spool(_found(docs, items, threshold, None, text_col, item_col, item_text_col).select("digest").distinct(), "tiling-gone")
     digest = common.fresh("digest", docs.columns)
     own = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
-    return own.join(gone.withColumnRenamed("digest", digest), digest, "left_anti").select(docs.columns)
+    return own.join(gone.withColumnRenamed("digest", digest), digest, "left_anti").drop(digest)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
