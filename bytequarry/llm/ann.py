@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by inner product with a hash-prefix forest.
 
 Each tree is a sorted array of BITS-long strings of hyperplane signs. A query descends in every tree to the rows that
-share its longest prefix; then all trees ascend together, one bit at a time, until the ranges they span hold enough rows.
-The union of the ranges is scored on the original vectors.
-
-Rows are indexed in blocks of a bounded number of distinct vectors, each a forest of its own, and every block of queries
-meets every block of rows, so no task and no forest grows with the table. Equal vectors are searched once; of each the
-k + 1 smallest ids are kept, which is all that k neighbours other than the query itself can need.
+share its longest prefix; then all trees ascend together, one bit at a time and within a bit one tree after the other, until the
+ranges they span hold CANDIDATES rows. The union of the ranges is scored on the original vectors.
+
+Strings of signs tell angles and not lengths, so rows are indexed by length class (four to a doubling), within which the order
+of angles is nearly that of inner products, and in blocks of at most about BLOCK distinct vectors. Each block's forest is built
+once and written; the stated queries meet it in blocks of QUERY_BLOCK, each task with one forest and one block of queries, so
+that no task grows with the table. Equal vectors are searched once; of each the k + 1 smallest ids are kept, which is all that
+k neighbours other than the query itself can need.
 """
 
 from __future__ import annotations
@@ -19,20 +21,25 @@ from pyspark.sql import functions as F
 from . import common
 
 TREES, BITS = 100, 24
-BLOCK, QUERY_BLOCK = 16384, 4096
-SHARE, LEAST = 0.7, 1500
-"""The ascent stops once the ranges hold this share of the block's rows, copies across trees counted, and LEAST rows at least."""
+BLOCK, QUERY_BLOCK = 16384, 1024
+CANDIDATES = 9000
+"""Rows in the ranges, copies across trees counted, at which the ascent in a forest stops."""
+LENGTH_CLASSES = 4
+"""Classes of vector length to a doubling."""
 
 
 class Forest:
-    def __init__(self, vectors: np.ndarray, seed: int = 3):
-        rng = np.random.default_rng(seed)
+    """vectors, and for each tree the rows in order of their strings and the sorted strings."""
+
+    def __init__(self, vectors: np.ndarray, order: np.ndarray | None = None, strings: np.ndarray | None = None, seed: int = 3):
         self.vectors = np.ascontiguousarray(vectors, np.float64)
         self.single = self.vectors.astype(np.float32)
-        self.planes = rng.normal(size=(vectors.shape[1], TREES * BITS)).astype(np.float32)
-        keys = self.keys(self.single)
-        self.order = np.argsort(keys, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(keys.T, self.order, 1)
+        self.planes = np.random.default_rng(seed).normal(size=(vectors.shape[1], TREES * BITS)).astype(np.float32)
+        if order is None:
+            keys = self.keys(self.single)
+            order = np.argsort(keys, axis=0, kind="stable").T.astype(np.uint32)
+            strings = np.take_along_axis(keys.T, order, 1)
+        self.order, self.sorted = order, strings
 
     def keys(self, vectors: np.ndarray) -> np.ndarray:
         """(rows, TREES) strings of BITS signs as integers."""
@@ -44,38 +51,43 @@ class Forest:
         return out
 
     def ranges(self, keys: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query and tree the range of rows at the prefix length where the ascent stops."""
+        """For each query and tree the range of rows at which the ascent stops, with so many rows in all."""
         n = len(keys)
-        low, high = np.zeros((n, TREES), np.int64), np.full((n, TREES), len(self.single), np.int64)
-        rest = np.arange(n)
-        for length in range(BITS, 0, -1):
+        low, high = np.zeros((n, TREES), np.int64), np.zeros((n, TREES), np.int64)
+        rest, a_was, b_was = np.arange(n), low, high
+        for length in range(BITS, -1, -1):
             spare = np.uint32((1 << (BITS - length)) - 1)
             part = keys[rest]
             a = np.stack([np.searchsorted(self.sorted[t], part[:, t] & ~spare, "left") for t in range(TREES)], 1)
             b = np.stack([np.searchsorted(self.sorted[t], part[:, t] | spare, "right") for t in range(TREES)], 1)
-            done = (b - a).sum(axis=1) >= want
-            low[rest[done]], high[rest[done]] = a[done], b[done]
-            rest = rest[~done]
+            # rows held once the first trees have ascended by this bit
+            held = (b_was - a_was).sum(axis=1)[:, None] + np.cumsum((b - a) - (b_was - a_was), axis=1)
+            up = np.arange(TREES) <= (held < want).sum(axis=1)[:, None]
+            low[rest], high[rest] = np.where(up, a, a_was), np.where(up, b, b_was)
+            short = held[:, -1] < want
+            rest, a_was, b_was = rest[short], a[short], b[short]
             if not len(rest):
                 break
         return low, high
 
+    def candidates(self, low: list[int], high: list[int]) -> np.ndarray:
+        mark = np.zeros(len(self.single), bool)
+        for t in range(TREES):
+            mark[self.order[t, low[t] : high[t]]] = True
+        return np.flatnonzero(mark)
+
     def search(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the rows of at least k nearest candidates (ties at the end kept) and their scores."""
         queries = np.ascontiguousarray(queries, np.float64)
-        n = len(self.single)
-        low, high = self.ranges(self.keys(queries.astype(np.float32)), min(n * TREES, max(LEAST, int(SHARE * n))))
+        low, high = self.ranges(self.keys(queries.astype(np.float32)), min(len(self.single) * TREES, CANDIDATES))
         out = []
         for q, a, b in zip(queries, low.tolist(), high.tolist(), strict=True):
-            mark = np.zeros(n, bool)
-            for t in range(TREES):
-                mark[self.order[t, a[t] : b[t]]] = True
-            rows = np.flatnonzero(mark)
+            rows = self.candidates(a, b)
             rough = self.single[rows] @ q.astype(np.float32)
             if len(rows) > k:
                 # single precision only decides what is surely out of reach
                 bar = np.partition(rough, len(rows) - k)[len(rows) - k] - 1e-4 * (1 + np.abs(rough).max())
-                rows = rows[rough >= bar]
+                rows = rows[~(rough < bar)]
             out.append((rows, (self.vectors[rows] * q).sum(axis=1)))
         return out
 
@@ -85,16 +97,26 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
+def _build(rows: pa.Table) -> pa.Table:
+    forest = Forest(_matrix(rows.column("vector")))
+    blobs = [pa.array([x.tobytes()], pa.binary()) for x in (forest.vectors, forest.order, forest.sorted)]
+    ids = rows.column("ids").combine_chunks().cast(pa.list_(pa.int64()))
+    held = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    return pa.Table.from_arrays([pa.array(rows.column(c)[:1].to_pylist(), t) for c, t in (("dim", pa.int32()), ("length", pa.int32()), ("block", pa.int32()))] + [held, *blobs], ["dim", "length", "block", "ids", "vectors", "rows", "strings"])
+
+
 def _search(k: int):
     names = ["query", "vec_id", "score"]
     types = [pa.int64(), pa.int64(), pa.float64()]
 
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        if not rows.num_rows or not queries.num_rows:
+    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
+        if not index.num_rows or not queries.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in types], names)
-        ids = rows.column("ids").to_pylist()
+        one = index.slice(0, 1).to_batches()[0]
+        ids, dim = one.column("ids").to_pylist()[0], one.column("dim")[0].as_py()
+        read = lambda c, t: np.frombuffer(one.column(c)[0].as_buffer(), t)
+        forest = Forest(read("vectors", np.float64).reshape(-1, dim), read("rows", np.uint32).reshape(TREES, -1), read("strings", np.uint32).reshape(TREES, -1))
         query, vec, score = [], [], []
-        forest = Forest(_matrix(rows.column("vector")))
         for q, (near, s) in zip(queries.column("query").to_pylist(), forest.search(_matrix(queries.column("vector")), k + 1), strict=True):
             found = sorted((-x, i) for r, x in zip(near.tolist(), s.tolist(), strict=True) for i in ids[r])[: k + 1]
             query += [q] * len(found)
@@ -109,8 +131,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     """(query_id, rank, vec_id, score): for each row of queries its k nearest rows of vectors, its own id apart.
 
     Nearness is the inner product in double precision, ties go to the smaller id. Vectors that are null, empty, zero or hold
-    null or non-finite components take no part, on either side; vectors meet only those of their own length. Fewer than k
-    candidates give fewer rows; tables without usable rows give none. A repeated id counts once."""
+    null or non-finite components take no part, on either side; vectors meet only those of their own dimension. Fewer than k
+    candidates give fewer rows; tables without usable rows give none. A repeated id counts once, with the least of its usable
+    vectors (compared component by component). Other columns are not read."""
     x = F.col("vector")
 
     def usable(df: DataFrame) -> DataFrame:
@@ -121,16 +144,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
         return own.withColumns({"a": F.xxhash64(x), "b": F.xxhash64(F.lit(1), x)})
 
     by = Window.partitionBy("a", "b").orderBy("id")
-    first = usable(vectors).dropDuplicates(["id"]).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= k + 1)
+    single = lambda df: df.groupBy("id").agg(F.min(F.struct("vector", "a", "b")).alias("v")).select("id", "v.*")
+    first = single(usable(vectors)).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= k + 1)
     distinct = common.spool(first.groupBy("a", "b").agg(F.any_value("vector").alias("vector"), F.array_sort(F.collect_list("id")).alias("ids")), "ann-rows")
-    asked = common.spool(usable(queries).dropDuplicates(["id"]), "ann-queries")
+    asked = common.spool(single(usable(queries)), "ann-queries")
     points = asked.groupBy("a", "b").agg(F.any_value("vector").alias("vector"), F.min("id").alias("query"))
-    blocks = max(1, -(-distinct.count() // BLOCK))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, c: s + c * c))
+    length = F.when((norm > 0) & (norm < float("inf")), F.floor(F.log2(norm) * LENGTH_CLASSES)).otherwise(F.signum(norm) * 5000).cast("int")
+    classed = distinct.select(F.size("vector").alias("dim"), length.alias("length"), "a", "vector", "ids")
+    blocks = classed.groupBy("dim", "length").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = classed.join(blocks, ["dim", "length"]).withColumn("block", F.pmod("a", F.col("blocks")).cast("int"))
+    index = dealt.select("dim", "length", "block", "vector", "ids").groupBy("dim", "length", "block").applyInArrow(_build, "dim int, length int, block int, ids array<array<bigint>>, vectors binary, rows binary, strings binary")
+    index = common.spool(index, "ann-forests")
     query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    rows = distinct.select(F.size("vector").alias("dim"), F.pmod("a", F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), "vector", "ids")
-    wanted = points.select(F.size("vector").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod("b", F.lit(query_blocks)).cast("int").alias("query_block"), "vector", "query")
-    unit = ["dim", "block", "query_block"]
-    found = common.spool(rows.groupBy(*unit).cogroup(wanted.groupBy(*unit)).applyInArrow(_search(k), "query long, vec_id long, score double"), "ann-found")
+    units = index.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    wanted = points.select(F.size("vector").alias("dim"), F.pmod("b", F.lit(query_blocks)).cast("int").alias("query_block"), "vector", "query")
+    wanted = wanted.join(index.select("dim", F.col("length").alias("in_length"), F.col("block").alias("in_block")), "dim")
+    pairs = units.groupBy("dim", "length", "block", "query_block").cogroup(wanted.groupBy("dim", "in_length", "in_block", "query_block"))
+    found = common.spool(pairs.applyInArrow(_search(k), "query long, vec_id long, score double"), "ann-found")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place")
     named = points.select("a", "b", "query").join(asked.select("a", "b", F.col("id").alias("query_id")), ["a", "b"]).select("query", "query_id")

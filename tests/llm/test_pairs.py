@@ -324,3 +324,43 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 75 * 20
     assert got[5100] == [(5120, 8.0, 1)] and got[5120] == [(5100, 8.0, 1)] and not {5000, 5020, 5040, 5060, 5080} & got.keys()
     assert ann.nearest(table.limit(0), table.limit(0), 20).count() == 0
+
+
+@pytest.mark.parametrize("uneven", [False, True])
+def test_recall_of_forests(uneven):
+    """Of one full block of random directions, where neighbours are hardest to tell, and of lengths that differ widely."""
+    rng = np.random.default_rng(2)
+    n = ann.BLOCK
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if uneven:
+        x *= np.exp(rng.normal(0, 0.7, n))[:, None]
+    classes = np.floor(np.log2(np.linalg.norm(x, axis=1)) * ann.LENGTH_CLASSES)
+    queries, hit = x[:40], 0
+    best = np.argsort(-(queries @ x.T), axis=1)[:, :21]
+    for c in np.unique(classes):
+        own = np.flatnonzero(classes == c)
+        for near, (rows, _) in zip(best, ann.Forest(x[own]).search(queries, 21), strict=True):
+            hit += len(set(near.tolist()) & set(own[rows].tolist()))
+    assert hit >= 0.9 * 40 * 21
+
+
+def test_neighbours_in_many_blocks(spark, monkeypatch):
+    """Several blocks of rows and of queries, ids with several vectors, long vectors at wide angles."""
+    monkeypatch.setattr(ann, "BLOCK", 300)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 10)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 8)) * np.exp(rng.normal(0, 0.7, 1200))[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, [9.0] * 8), (40, [-9.0] * 8), (41, x[41].tolist())]
+    x[40] = -9.0
+    x[7] = min(x[7].tolist(), [9.0] * 8)
+    x[40] = min(rows[40][1], [-9.0] * 8)
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, table.filter("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert len(got) == 60
+    for q, near in got.items():
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        assert near == np.lexsort((np.arange(1200), -s))[:20].tolist()  # so few rows are all candidates
