@@ -199,20 +199,23 @@ def test_page_table(spark):
 
 def slow_lm(rows):
     texts = [(i, [w.decode() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")))]) for i, t in rows]
-    c = Counter()
+    grams = lambda w: Counter(tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    every = Counter()
     for _, w in texts:
-        for n in (1, 2, 3):
-            c.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+        every += grams(w)
     total, out = sum(len(w) for _, w in texts), []
     for i, w in texts:
-        s = 0.0
+        c, s = every - grams(w), 0.0
         for k in range(len(w)):
             for n in range(min(3, k + 1), 0, -1):
                 g = tuple(w[k - n + 1 : k + 1])
-                if n == 1 or c[g] >= 2:
-                    s += math.log(c[g] / (c[g[:-1]] if n > 1 else total))
+                if n == 1:
+                    s += math.log(max(c[g], 1) / max(total - len(w), 1))
+                elif c[g] > 0:
+                    s += math.log(c[g] / c[g[:-1]])
                     break
-                s += math.log(0.4)
+                else:
+                    s += math.log(0.4)
         out.append((i, len(w), s))
     return out
 
@@ -221,10 +224,17 @@ def slow_lm(rows):
 def test_language_model(documents, words, monkeypatch, chunk):
     monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(lm, "PARTITION_WORDS", 300)
-    rows = [(0, None), (1, ""), (2, "One"), (3, "one TWO"), (4, "x " * 3000)] + [(i, words(i, i % 20)) for i in range(5, 60)] + [(7, words(9, 9))]
-    got = sorted((r["id"], r["n_words"], r["log_score"]) for r in lm.score(documents(rows).repartition(3)).collect())
+    rows = [(0, None), (1, ""), (2, "One"), (3, "one TWO"), (4, "x " * 3000), (4, words(3000, 5) * 60)] + [(i, words(i, i % 20)) for i in range(5, 60)] + [(7, words(9, 9))]
+    got = sorted((r["id"], r["n_words"], r["log_sum"]) for r in lm.score(documents(rows).repartition(3)).collect())
     for g, w in zip(got, sorted(slow_lm(rows)), strict=True):
-        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-7)
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-9, abs=1e-7)
+
+
+def test_language_model_tells_repeated_documents(documents, words):
+    rows = [(i, words(80 + i % 50, i)) for i in range(200)] + [(1000 + i, words(80 + i % 50, i)) for i in range(0, 200, 10)]
+    per = {r["id"]: r["log_sum"] / r["n_words"] for r in lm.score(documents(rows)).collect()}
+    twice = [per[i] for i in range(0, 200, 10)] + [per[1000 + i] for i in range(0, 200, 10)]
+    assert min(twice) > max(v for i, v in per.items() if i < 1000 and i % 10)
 
 
 def test_language_model_of_no_rows(documents):
