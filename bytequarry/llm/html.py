@@ -113,16 +113,32 @@ def blocks_of(page: str) -> list[Block]:
         if links:
             block.linked += len(text)
 
+    opened: dict[str, list[Element]] = {}
+    open_blocks: list[Element] = []
+
+    def enter(e: Element) -> None:
+        nonlocal here
+        here = e
+        opened.setdefault(e.tag, []).append(e)
+        if e.tag in BLOCKS:
+            open_blocks.append(e)
+
     def leave(tag: str, stop: frozenset[str] = frozenset()) -> None:
-        """Closes the nearest open element of that name, and what is open in it, unless an element of stop is nearer."""
+        """Closes the nearest open element of that name, and what is open in it, unless an element of stop is nearer.
+
+        Each element is closed once, and nothing else is walked over."""
         nonlocal here
-        e = here
-        while e.parent is not None and e.tag != tag:
-            if e.tag in stop:
+        of_name = opened.get(tag)
+        if not of_name or any(opened.get(x) and opened[x][-1].depth > of_name[-1].depth for x in stop):
+            return
+        target = of_name[-1]
+        while True:
+            e, here = here, here.parent
+            opened[e.tag].pop()
+            if e.tag in BLOCKS:
+                open_blocks.pop()
+            if e is target:
                 return
-            e = e.parent
-        if e.parent is not None:
-            here = e.parent
 
     size = len(page)
     while at < size:
@@ -153,8 +169,8 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCKS or tag in NO_TEXT:
             if tag in BLOCKS:
                 block = None
-            if tag in CLOSES_P:
-                leave("p", BLOCKS - {"p"})
+            if tag in CLOSES_P and open_blocks and open_blocks[-1].tag == "p":
+                leave("p")
             if tag in SCOPE:
                 leave(tag, SCOPE[tag])
             if tag not in VOID:
@@ -162,7 +178,7 @@ def blocks_of(page: str) -> list[Block]:
                 score = (min(here.score, 0.0) if bad else here.score) + (min(own, 0.0) if here.part else own)
                 # A form may be laid around a whole page, so what lies in it can still gain.
                 part = here.part or (bad and here.in_article and tag != "form")
-                here = Element(tag, here, here.depth + 1, score, here.in_article or tag in ("article", "main"), here.silent or tag in NO_TEXT, part)
+                enter(Element(tag, here, here.depth + 1, score, here.in_article or tag in ("article", "main"), here.silent or tag in NO_TEXT, part))
         elif tag == "br":
             add(" ")
         elif tag == "a":

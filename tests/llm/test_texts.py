@@ -149,6 +149,15 @@ def test_main_text():
     html.extract("<div>" * 5000 + "deep")
 
 
+def test_odd_nesting_takes_linear_time():
+    import time
+
+    for page in ("<div>" * 60_000 + "</p>" * 60_000, "<li><ul>" + "<div>" * 30_000 + "<li></li>" * 30_000, "<p><div>" + "<object>" * 30_000 + "<div></div>" * 30_000, "<table>" + "<tr><td>x" * 30_000, "<p>" + "<div>x" * 30_000 + "</div>y" * 30_000):
+        started = time.time()
+        html.extract("<article><p>A first line of text.</p></article>" + page)
+        assert time.time() - started < 20
+
+
 PARTS = [
     '<div class="ad">Buy our shoes now at half price today.</div>', '<div class="share">Share this story with all of your friends.</div>', '<div class="related">More stories that you might like to read.</div>',
     '<div class="newsletter"><p>Get the best of our stories by mail each week.</p></div>', '<div class="cookie-notice">We use cookies, and please accept all of them now.</div>',
