@@ -307,6 +307,23 @@ def chunks(df: DataFrame, id_col: str, text_col: str, limit: int, tag: str) -> D
     return spool(rows.mapInArrow(lean(_pack_chunks(limit)), "chunk bigint, blob binary"), tag)
 
 
+def by_key(run: Callable[[pa.Table], pa.Table], *keys: str) -> Callable:
+    """A mapInArrow function that applies run to each group of rows with equal keys that a partition holds: grouping for tables
+    that repartitionById has dealt out, one group to a partition, so that tasks do not grow with the corpus."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            of = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            for key in set(of):
+                held.setdefault(key, []).append(batch.filter(pa.array([k == key for k in of])))
+        while held:
+            _, own = held.popitem()
+            yield from run(pa.Table.from_batches(own)).to_batches()
+
+    return lean(mapped)
+
+
 def open_chunk(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Ids, bytes and offsets of a chunk."""
     one = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().combine_chunks()

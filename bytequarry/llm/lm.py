@@ -88,20 +88,8 @@ def _send(parts: int, bits: int):
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The count tables of the partitions of an order that a task holds (one, as they are numbered), joined to the chunks that
-    asked."""
-    held: dict[tuple[int, int], list[pa.RecordBatch]] = {}
-    for batch in batches:
-        keys = list(zip(batch.column("order").to_pylist(), batch.column("part").to_pylist(), strict=True))
-        for key in set(keys):
-            held.setdefault(key, []).append(batch.filter(pa.array([k == key for k in keys])))
-    while held:
-        _, own = held.popitem()
-        yield from _answered(pa.Table.from_batches(own)).to_batches()
-
-
-def _answered(rows: pa.Table) -> pa.Table:
+def _count(rows: pa.Table) -> pa.Table:
+    """The count table of one partition of one order, joined to the chunks that asked."""
     asked = [common.unpack_sorted(x.as_py()) for x in rows.column("hashes")]
     own, place = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(place, np.concatenate([common.unpack_numbers(x.as_py()) for x in rows.column("counts")]).astype(np.float64), len(own))
@@ -161,7 +149,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     parts, bits = max(1, -(-n_all // PARTITION_WORDS)), hash_bits(n_all)
     sent = chunks.mapInArrow(common.lean(_send(parts, bits)), "order int, part int, chunk bigint, hashes binary, counts binary")
     numbered = sent.repartitionById(ORDER * parts, ((F.col("order") - 1) * parts + F.col("part")).cast("int"))
-    answers = numbered.mapInArrow(common.lean(_count), "order int, part int, chunk bigint, counts binary")
+    answers = numbered.mapInArrow(common.by_key(_count, "order", "part"), "order int, part int, chunk bigint, counts binary")
     dealt = lambda df: df.repartition(max(1, 2 * n_chunks), "chunk").groupBy("chunk")
     return dealt(chunks).cogroup(dealt(answers)).applyInArrow(_score(n_all, bits), "id bigint, n_words bigint, log_sum double")
 

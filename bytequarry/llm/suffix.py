@@ -469,17 +469,20 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, n_bytes, n_removed, starts, lengths, kept_sha256) for each row: the maximal runs of bytes covered by a LEAST-byte
     string that also starts earlier, in a row with a smaller id or further left, and the digest of what is left.
 
-    Null texts are empty. Rows without id come last; rows that share an id are ordered by chunk and place, so that one of
-    them is first. An empty table gives no rows."""
+    Null texts are empty; texts of any length are read whole (one text is one chunk at least). Rows without id come last; rows
+    that share an id are ordered by chunk and place, so that one of them is first. An empty table gives no rows."""
     chunks = common.chunks(docs, id_col, text_col, CHUNK_BYTES, "suffix-chunks")
-    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n_bytes, n_chunks = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0, chunks.count()
     parts = max(1, -(-int(n_bytes) * 2 // (SPAN + 1) // PARTITION_ENTRIES))
+    # Partitions are numbered and chunks dealt out by the corpus's size, not by the session's number of partitions.
+    answered = lambda sent, n, number: sent.repartitionById(n, number).mapInArrow(common.by_key(_answer, "kind", "part"), MESSAGE)
+    dealt = lambda df: df.repartition(max(1, 2 * n_chunks), "chunk").groupBy("chunk")
     sent = chunks.mapInArrow(common.lean(_send(parts)), MESSAGE)
-    pairs = common.spool(sent.groupBy("kind", "part").applyInArrow(_answer, MESSAGE), "suffix-pairs")
-    more = chunks.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_send_ends(parts), MESSAGE)
-    ends = common.spool(more.groupBy("kind", "part").applyInArrow(_answer, MESSAGE), "suffix-ends")
+    pairs = common.spool(answered(sent, parts, F.col("part")), "suffix-pairs")
+    more = dealt(chunks).cogroup(dealt(pairs)).applyInArrow(_send_ends(parts), MESSAGE)
+    ends = common.spool(answered(more, 2 * parts, (F.col("kind") - ENDS) * parts + F.col("part")), "suffix-ends")
     schema = "id bigint, n_bytes bigint, n_removed bigint, starts array<bigint>, lengths array<bigint>, kept_sha256 string"
-    return chunks.groupBy("chunk").cogroup(pairs.union(ends).groupBy("chunk")).applyInArrow(_cut, schema)
+    return dealt(chunks).cogroup(dealt(pairs.union(ends))).applyInArrow(_cut, schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
