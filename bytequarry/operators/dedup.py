@@ -15,17 +15,21 @@ def chunks(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
 
 
 def index(df: DataFrame, digest_col: str, order_cols: list[str]) -> DataFrame:
-    """Adds already_present: whether an earlier row by order_cols has the digest.
+    """Adds already_present: whether an earlier row by order_cols has the digest. A null digest is like no other: never present.
 
-    The first of each digest is a minimum, formed on the map side and joined back, so a digest that a third of all rows share
-    is not one task's work as it would be in a window."""
-    first = df.groupBy(digest_col).agg(F.min(F.struct(*order_cols)).alias("__first"))
-    own = F.struct(*order_cols)
-    return df.join(first, digest_col).withColumn("already_present", own != F.col("__first")).drop("__first")
+    The first of each digest is a minimum, formed on the map side and joined back by the digest. The join's rows carry no
+    payload of their own, and adaptive execution splits a partition that one digest makes large."""
+    digest, first = "first_digest", "first_place"
+    while {digest, first} & set(df.columns):
+        digest, first = digest + "_", first + "_"
+    least = df.filter(F.col(digest_col).isNotNull()).groupBy(F.col(digest_col).alias(digest)).agg(F.min(F.struct(*order_cols)).alias(first))
+    joined = df.join(least, F.col(digest_col) == F.col(digest), "left")
+    present = F.coalesce(~F.struct(*order_cols).eqNullSafe(F.col(first)) & F.col(digest).isNotNull(), F.lit(False))
+    return joined.withColumn("already_present", present).drop(digest, first)
 
 
 def stored(df: DataFrame, digest_col: str, order_cols: list[str]) -> DataFrame:
-    """The rows that are stored: the first of each digest."""
+    """The rows that are stored: the first of each digest, and those without one."""
     return index(df, digest_col, order_cols).filter(~F.col("already_present")).drop("already_present")
 
 

@@ -1,7 +1,9 @@
 """Archives as datasets of Parquet: entries, chunks and parity, written and read by all tasks at once.
 
-Coding works on distinct contents: digests are grouped first, each is coded once, and entries refer to chunks by id. Payloads
-travel through one exchange at most; parity and seals are made chunk by chunk, so nothing needs the archive in one place."""
+Coding works on distinct contents: digests are grouped first, each is coded once, and entries refer to chunks by id. A chunk's id
+is the digest of its content and its block, so that different contents cannot share one; an entry's id is that of its row, so
+that repeated rows stay apart. Payloads travel through one exchange at most; parity and seals are made chunk by chunk, so
+nothing needs the archive in one place."""
 
 from __future__ import annotations
 
@@ -69,7 +71,7 @@ def decode(method: F.Column, payload: F.Column, key: bytes | None = None) -> F.C
 
 
 def coded_chunks(contents: DataFrame, options: Options = Options(), key: bytes | None = None) -> DataFrame:
-    """Chunk rows of (chunk_id, content)."""
+    """Chunk rows of (chunk_id, content); each row is coded once, whatever reads the columns."""
     coded = contents.select("chunk_id", F.octet_length("content").cast("long").alias("original_size"), encode(F.col("content"), options.research, key).alias("c"))
     payload = F.col("c.payload")
     return coded.select("chunk_id", "original_size", F.octet_length(payload).cast("long").alias("compressed_size"), F.col("c.method").alias("method"), F.crc32(payload).alias("crc32"), udfs.xxh64(payload).alias("xxhash64"), payload.alias("payload"))
@@ -80,60 +82,96 @@ def _shards(percent: int):
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 made = parity.encode(payload.as_py() or b"", percent)
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(made), pa.int64()), pa.array(range(len(made)), pa.int32()), pa.array(made, pa.binary())], ["chunk_id", "shard_no", "shard"])
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(made), pa.string()), pa.array(range(len(made)), pa.int32()), pa.array(made, pa.binary())], ["chunk_id", "shard_no", "shard"])
 
     return run
 
 
 def parity_shards(chunks: DataFrame, percent: int) -> DataFrame:
     """(chunk_id, shard_no, shard) of every chunk's payload."""
-    return chunks.select("chunk_id", "payload").mapInArrow(_shards(percent), "chunk_id bigint, shard_no int, shard binary")
+    return chunks.select("chunk_id", "payload").mapInArrow(_shards(percent), "chunk_id string, shard_no int, shard binary")
+
+
+def one_of_each(rows: DataFrame, listed: DataFrame, key: str, places: list[str]) -> DataFrame:
+    """One row of rows for each key. listed holds the key and places of the same rows without their payloads.
+
+    Keys and places are grouped; the row at a key's least place is then met by a hash join that streams the payloads. Only rows
+    that repeat both key and place are grouped with their payload."""
+    counted = listed.groupBy(key, *places).agg(F.count("*").alias("times"))
+    least = counted.groupBy(F.col(key).alias("first_key")).agg(F.min(F.struct(*places, "times")).alias("first"))
+    same = F.col(key) == F.col("first_key")
+    for p in places:
+        same &= F.col(p).eqNullSafe(F.col(f"first.{p}"))
+    met = rows.join(least.hint("shuffle_hash"), same)
+    once = met.filter("first.times = 1").select(rows.columns)
+    return once.union(met.filter("first.times > 1").select(rows.columns).dropDuplicates([key]))
 
 
 def _blocks(contents: DataFrame, block_size: int) -> DataFrame:
-    """(sha256, block, content) with contents over block_size cut."""
+    """(chunk_id, content) with contents over block_size cut."""
     if not block_size:
-        return contents.select("sha256", F.lit(0).alias("block"), "content")
+        return contents.select(F.concat_ws(":", "content_key", F.lit(0)).alias("chunk_id"), "content")
     n = F.greatest(F.ceil(F.octet_length("content") / block_size).cast("int"), F.lit(1))
-    cut = contents.select("sha256", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
-    return cut.select("sha256", "block", F.expr(f"substring(content, block * {block_size} + 1, {block_size})").alias("content"))
+    cut = contents.select("content_key", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
+    return cut.select(F.concat_ws(":", "content_key", "block").alias("chunk_id"), F.expr(f"substring(content, block * {block_size} + 1, {block_size})").alias("content"))
 
 
 def pack(files: DataFrame, path: str, options: Options = Options(), path_col: str = "path", content_col: str = "content") -> dict:
     """Writes files (path, content and, where there are such columns, the entry metadata) as the dataset at path; what it is
-    made of and its true size. Null contents are empty; repeated paths are kept, in order of path."""
+    made of and its true size. Null contents are empty; repeated paths and repeated rows are all kept."""
     spark = files.sparkSession
     salt = crypto.new_salt() if options.password else None
     key = crypto.derive_scrypt(options.password, salt) if options.password else None
     content = F.coalesce(F.col(content_col), F.lit(b"").cast("binary"))
     meta = {c: F.col(c) if c in files.columns else F.lit(d).cast(t) for c, d, t in (("is_dir", False, "boolean"), ("created_at", 0, "bigint"), ("modified_at", 0, "bigint"), ("mode", FILE_MODE, "int"), ("is_symlink", False, "boolean"), ("symlink_target", None, "string"))}
-    listed = files.select(F.col(path_col).cast("string").alias("path"), F.octet_length(content).cast("long").alias("size"), F.sha2(content, 256).alias("sha256"), *[c.alias(n) for n, c in meta.items()])
-    digest = files.select(F.sha2(content, 256).alias("sha256"), content.alias("content"))
-    if options.dedup:
-        distinct = digest.groupBy("sha256").agg(F.first("content").alias("content"))
-        listed = listed.withColumn("content_key", F.col("sha256"))
-        blocks = _blocks(distinct, options.block_size)
-    else:
-        listed = listed.withColumn("content_key", F.concat_ws("/", "sha256", "path"))
-        blocks = _blocks(files.select(F.concat_ws("/", F.sha2(content, 256), F.col(path_col)).alias("sha256"), content.alias("content")).dropDuplicates(["sha256"]), options.block_size)
-    # Ids need no order across tasks: a chunk's id is its key's hash, and entries find it by the key.
-    keyed = blocks.withColumn("chunk_id", F.xxhash64("sha256", "block").bitwiseAND((1 << 62) - 1))
+    own_path = F.col(path_col).cast("string")
+    # Without dedup a chunk belongs to a path.
+    content_key = F.sha2(content, 256) if options.dedup else F.concat_ws("/", F.sha2(content, 256), F.sha2(F.coalesce(own_path, F.lit("")), 256))
+    listed = files.select(F.monotonically_increasing_id().alias("entry_id"), own_path.alias("path"), F.octet_length(content).cast("long").alias("size"), F.sha2(content, 256).alias("sha256"), *[c.alias(n) for n, c in meta.items()], content_key.alias("content_key"))
+    n = F.greatest(F.ceil(F.col("size") / options.block_size).cast("int"), F.lit(1)) if options.block_size else F.lit(1)
+    ids = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.concat_ws(":", "content_key", b))
+    listed.withColumn("chunk_indices", ids).drop("content_key").write.mode("overwrite").parquet(f"{path}/entries")
+    kept = spark.read.parquet(f"{path}/entries").select("path", F.regexp_replace(F.col("chunk_indices")[0], ":0$", "").alias("content_key"))
+    rows = files.select(own_path.alias("path"), content_key.alias("content_key"), content.alias("content"))
+    keyed = _blocks(one_of_each(rows, kept, "content_key", ["path"]), options.block_size)
     coded_chunks(keyed, options, key).write.mode("overwrite").parquet(f"{path}/chunks")
     chunks = spark.read.parquet(f"{path}/chunks")
-    n = F.greatest(F.ceil(F.col("size") / options.block_size).cast("int"), F.lit(1)) if options.block_size else F.lit(1)
-    ids = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.xxhash64("content_key", b).bitwiseAND((1 << 62) - 1))
-    entries = listed.withColumn("chunk_indices", ids).drop("content_key").withColumn("entry_id", F.xxhash64("path", "sha256").bitwiseAND((1 << 62) - 1))
-    entries.write.mode("overwrite").parquet(f"{path}/entries")
     if options.recovery_percent:
         parity_shards(chunks, options.recovery_percent).write.mode("overwrite").parquet(f"{path}/parity")
     sums = spark.read.parquet(f"{path}/entries").agg(F.count("*").alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("original")).first()
     stored = chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("compressed_size"), F.lit(0)).alias("compressed")).first()
-    row = {"version": container.VERSION, "is_solid": options.solid == "Solid", "is_encrypted": key is not None, "has_deduplication": options.dedup, "has_recovery": options.recovery_percent > 0, "is_multi_volume": False, "created_timestamp": int(time.time()), "entry_count": sums["entries"], "chunk_count": stored["chunks"], "recovery_percent": options.recovery_percent, "salt": salt, "original_bytes": sums["original"], "compressed_bytes": stored["compressed"]}
-    schema = "version int, is_solid boolean, is_encrypted boolean, has_deduplication boolean, has_recovery boolean, is_multi_volume boolean, created_timestamp bigint, entry_count bigint, chunk_count bigint, recovery_percent int, salt binary, original_bytes bigint, compressed_bytes bigint"
+    row = {"version": container.VERSION, "is_solid": options.solid == "Solid", "is_encrypted": key is not None, "has_deduplication": options.dedup, "has_recovery": options.recovery_percent > 0, "is_multi_volume": False, "created_timestamp": int(time.time()), "entry_count": sums["entries"], "chunk_count": stored["chunks"], "recovery_percent": options.recovery_percent, "block_size": options.block_size, "salt": salt, "original_bytes": sums["original"], "compressed_bytes": stored["compressed"]}
+    schema = "version int, is_solid boolean, is_encrypted boolean, has_deduplication boolean, has_recovery boolean, is_multi_volume boolean, created_timestamp bigint, entry_count bigint, chunk_count bigint, recovery_percent int, block_size int, salt binary, original_bytes bigint, compressed_bytes bigint"
     spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/archive")
     return row
 
 
+def append(files: DataFrame, path: str, batch: int, options: Options = Options(recovery_percent=0), path_col: str = "path", content_col: str = "content") -> None:
+    """Adds a numbered batch of files to the dataset at path, which it begins if need be: its entries and the chunks of contents
+    that other batches lack, in folders of the batch's own. Running a batch again replaces them. Not for sealed archives."""
+    spark = files.sparkSession
+    if options.password:
+        raise ValueError("appending to a sealed archive is not supported")
+    part = f"{path}/parts/batch={batch}"
+    pack(files, part, options, path_col, content_col)
+    system = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    have = lambda p: system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p))
+    chunks = spark.read.parquet(f"{part}/chunks")
+    if have(f"{path}/chunks"):
+        held = spark.read.option("basePath", f"{path}/chunks").parquet(f"{path}/chunks")
+        if "batch" in held.columns:
+            chunks = chunks.join(held.filter(F.col("batch") != batch).select("chunk_id"), "chunk_id", "left_anti")
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
+    own = F.col("entry_id").bitwiseOR(F.lit(batch) * F.lit(1 << 44).cast("long")).alias("entry_id")
+    listed = spark.read.parquet(f"{part}/entries")
+    listed.select(own, *[c for c in listed.columns if c != "entry_id"]).write.mode("overwrite").parquet(f"{path}/entries/batch={batch}")
+    if options.recovery_percent:
+        spark.read.parquet(f"{part}/parity").join(spark.read.parquet(f"{path}/chunks/batch={batch}").select("chunk_id"), "chunk_id", "left_semi").write.mode("overwrite").parquet(f"{path}/parity/batch={batch}")
+    if not have(f"{path}/archive"):
+        spark.read.parquet(f"{part}/archive").write.mode("overwrite").parquet(f"{path}/archive")
+    system.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part), True)
+
+
 def _key_of(spark: SparkSession, path: str, password: str | None) -> bytes | None:
     head = spark.read.parquet(f"{path}/archive").first()
     if not head["is_encrypted"]:
@@ -156,12 +194,15 @@ def extract(spark: SparkSession, path: str, password: str | None = None, fail: b
     A damaged or missing chunk and an unsafe path give an error; with fail the first one stops the query."""
     key = _key_of(spark, path, password)
     decoded = spark.read.parquet(f"{path}/chunks").select("chunk_id", decode(F.col("method"), F.col("payload"), key).alias("d")).select("chunk_id", "d.content", F.col("d.error").alias("chunk_error"))
-    wanted = entries(spark, path).select("entry_id", "path", "size", "sha256", F.posexplode("chunk_indices").alias("place", "chunk_id"))
-    parts = wanted.join(decoded, "chunk_id", "left")
-    whole = parts.groupBy("entry_id", "path", "size", "sha256").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("parts"), F.max("chunk_error").alias("chunk_error"), F.count(F.when(F.col("content").isNull(), 1)).alias("missing"))
-    joined = F.aggregate(F.transform("parts", lambda p: p["content"]), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b))
-    content = F.when(F.col("missing") == 0, joined)
-    out = whole.select("path", "size", "sha256", content.alias("content"), "chunk_error", "missing")
+    if spark.read.parquet(f"{path}/archive").first()["block_size"]:
+        wanted = entries(spark, path).select("entry_id", "path", "size", "sha256", F.posexplode("chunk_indices").alias("place", "chunk_id"))
+        parts = wanted.join(decoded, "chunk_id", "left")
+        whole = parts.groupBy("entry_id", "path", "size", "sha256").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("parts"), F.max("chunk_error").alias("chunk_error"), F.count(F.when(F.col("content").isNull(), 1)).alias("missing"))
+        joined = F.aggregate(F.transform("parts", lambda p: p["content"]), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b))
+        out = whole.select("path", "size", "sha256", F.when(F.col("missing") == 0, joined).alias("content"), "chunk_error", "missing")
+    else:  # an entry is one chunk: nothing to group
+        wanted = entries(spark, path).select("path", "size", "sha256", F.col("chunk_indices")[0].alias("chunk_id"))
+        out = wanted.join(decoded, "chunk_id", "left").select("path", "size", "sha256", "content", "chunk_error", F.col("content").isNull().cast("int").alias("missing"))
     error = F.when(F.col("missing") > 0, F.coalesce("chunk_error", F.lit("a chunk is missing"))).when(F.sha2("content", 256) != F.col("sha256"), "sha256 differs")
     safe = security.sanitized(F.col("path"))
     out = out.withColumn("error", F.coalesce(error, F.when(safe.isNull(), "unsafe path"))).withColumn("safe_path", safe)
@@ -207,7 +248,7 @@ def repair(spark: SparkSession, path: str, out: str) -> DataFrame:
     bad = chunks.filter(F.crc32("payload") != F.col("crc32"))
     shards = spark.read.parquet(f"{path}/parity")
     joined = bad.select("chunk_id", "payload", "crc32", "compressed_size").join(shards, "chunk_id")
-    mended = joined.groupBy("chunk_id").applyInPandas(_mend, "chunk_id bigint, payload binary, mended boolean")
+    mended = joined.groupBy("chunk_id").applyInPandas(_mend, "chunk_id string, payload binary, mended boolean")
     mended.write.mode("overwrite").parquet(f"{out}/mended")
     done = spark.read.parquet(f"{out}/mended")
     new = done.select("chunk_id", F.col("payload").alias("rebuilt"))

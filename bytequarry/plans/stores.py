@@ -19,28 +19,30 @@ _MEMBERS = pa.list_(pa.struct([("path", pa.string()), ("offset", pa.int64()), ("
 
 
 def store_chunks(files: DataFrame, path: str, path_col: str = "path", content_col: str = "content") -> None:
-    """Writes path/chunks (sha256, method, payload, ...) and path/recipes (path, size, sha256, chunks: digests in order).
+    """Writes path/recipes (recipe_id, path, size, sha256, chunks: digests in order) and path/chunks (sha256, method, payload, ...).
 
-    Only distinct chunks are coded; which is the first of a digest does not matter, as their bytes are equal."""
+    Only distinct chunks are coded. Repeated paths and repeated rows have a recipe each; null contents are empty."""
+    spark = files.sparkSession
     content = F.coalesce(F.col(content_col), F.lit(b"").cast("binary"))
-    rows = files.select(F.col(path_col).cast("string").alias("path"), content.alias("content"))
-    cut = rows.select("path", "content", F.explode(udfs.cdc_chunks(F.col("content"))).alias("at")).select(F.expr("substring(content, int(at.offset) + 1, int(at.length))").alias("content"))
-    distinct = cut.groupBy(F.sha2("content", 256).alias("sha256")).agg(F.first("content").alias("content"))
+    rows = files.select(F.col(path_col).cast("string").alias("path"), content.alias("content")).withColumn("at", udfs.cdc_chunks(F.col("content")))
+    part = lambda a: F.substring("content", (a["offset"] + 1).cast("int"), a["length"].cast("int"))
+    # A file's own chunks stay within its row: an array of digests, without an exchange.
+    digests = F.transform("at", lambda a: F.sha2(part(a), 256))
+    rows.select(F.monotonically_increasing_id().alias("recipe_id"), "path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), digests.alias("chunks")).write.mode("overwrite").parquet(f"{path}/recipes")
+    listed = spark.read.parquet(f"{path}/recipes").select("path", F.posexplode("chunks").alias("place", "sha256"))
+    cut = rows.select("path", "content", F.posexplode("at").alias("place", "a")).select("path", "place", part(F.col("a")).alias("content")).withColumn("sha256", F.sha2("content", 256))
+    distinct = archive.one_of_each(cut, listed, "sha256", ["path", "place"])
     coded = distinct.select("sha256", F.octet_length("content").cast("long").alias("original_size"), archive.encode(F.col("content")).alias("c"))
     coded.select("sha256", "original_size", F.octet_length("c.payload").cast("long").alias("compressed_size"), F.crc32("c.payload").alias("crc32"), F.col("c.method").alias("method"), F.col("c.payload").alias("payload")).write.mode("overwrite").parquet(f"{path}/chunks")
-    # A file's own chunks stay within its row: an array of digests, without an exchange.
-    parts = rows.withColumn("at", udfs.cdc_chunks(F.col("content")))
-    digests = F.transform("at", lambda a: F.sha2(F.substring("content", (a["offset"] + 1).cast("int"), a["length"].cast("int")), 256))
-    parts.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), digests.alias("chunks")).write.mode("overwrite").parquet(f"{path}/recipes")
 
 
 def restore_chunks(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, content, error) of every recipe."""
     decoded = spark.read.parquet(f"{path}/chunks").select("sha256", archive.decode(F.col("method"), F.col("payload")).alias("d")).select(F.col("sha256").alias("chunk"), "d.content", F.col("d.error").alias("chunk_error"))
     recipes = spark.read.parquet(f"{path}/recipes")
-    wanted = recipes.select("path", "size", "sha256", F.posexplode_outer("chunks").alias("place", "chunk"))
+    wanted = recipes.select("recipe_id", "path", "size", "sha256", F.posexplode_outer("chunks").alias("place", "chunk"))
     parts = wanted.join(decoded, "chunk", "left")
-    whole = parts.groupBy("path", "size", "sha256").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("parts"), F.max("chunk_error").alias("chunk_error"))
+    whole = parts.groupBy("recipe_id", "path", "size", "sha256").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("parts"), F.max("chunk_error").alias("chunk_error"))
     joined = F.aggregate(F.transform("parts", lambda p: p["content"]), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(b"").cast("binary"))))
     out = whole.select("path", "size", "sha256", joined.alias("content"), "chunk_error")
     error = F.when(F.sha2("content", 256) != F.col("sha256"), F.coalesce("chunk_error", F.lit("sha256 differs")))

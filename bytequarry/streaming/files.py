@@ -24,12 +24,14 @@ def first_seen(files: DataFrame, delay: str = "7 days") -> DataFrame:
     return files.withWatermark("modified_at", delay).dropDuplicatesWithinWatermark(["sha256"])
 
 
-def store(files: DataFrame, path: str, checkpoint: str, options: Options = Options(password=None)) -> StreamingQuery:
-    """Appends coded chunks of first-seen contents to path/chunks until what has arrived is done. A batch that is run again
-    after a failure writes to its own folder again, so nothing is stored twice."""
+def store(files: DataFrame, path: str, checkpoint: str, options: Options = Options(password=None, recovery_percent=0)) -> StreamingQuery:
+    """Appends what arrives to an archive at path, until what has arrived is done: entries of every file, and coded chunks of the
+    contents that no earlier batch holds, so that archive.extract gives all files back.
+
+    A batch that is run again after a failure writes to its own folders again, so nothing is stored twice. Only digests of stored
+    chunks are read to tell what is new."""
 
     def save(batch: DataFrame, number: int) -> None:
-        keyed = batch.select(F.xxhash64("sha256").bitwiseAND((1 << 62) - 1).alias("chunk_id"), "content")
-        archive.coded_chunks(keyed, options).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+        archive.append(batch, path, number, options)
 
-    return first_seen(files).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytequarry.functions import udfs
+from bytequarry.operators import dedup
 from bytequarry.plans import archive, reports, stores
 from bytequarry.schema import Options
 from bytequarry.sources import container, files
@@ -35,6 +36,33 @@ def test_roundtrip(spark, table, tmp_path, how):
         assert {x["path"]: x["content"] for x in back} == {p: c or b"" for p, c in CONTENTS.items()}
 
 
+@pytest.mark.parametrize("how", [{}, {"dedup": False}, {"block_size": 1000, "dedup": False}, {"block_size": 700}])
+def test_repeated_rows_are_all_kept(spark, tmp_path, how):
+    """Repeated paths, contents, and both; null paths and contents."""
+    rows = [("a", b"hello" * 400), ("a", b"hello" * 400), ("a", b"other"), ("b", b"hello" * 400), ("b", b""), ("b", b""), ("c", None), (None, b"x"), (None, b"x"), (None, None)]
+    table = spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary").repartition(3)
+    path = str(tmp_path / "x")
+    assert archive.pack(table, path, Options(recovery_percent=0, **how))["entry_count"] == len(rows)
+    got = sorted((r["path"] or "", r["error"] or bytes(r["content"])) for r in archive.extract(spark, path).collect())
+    assert got == sorted((p or "", "unsafe path" if p is None else c or b"") for p, c in rows)
+    chunks = spark.read.parquet(f"{path}/chunks")
+    assert chunks.count() == chunks.select("chunk_id").distinct().count()
+    assert archive.entries(spark, path).select("entry_id").distinct().count() == len(rows)
+    if not how:
+        stores.store_chunks(table, str(tmp_path / "s"))
+        got = sorted((r["path"] or "", bytes(r["content"])) for r in stores.restore_chunks(spark, str(tmp_path / "s")).collect())
+        assert got == sorted((p or "", c or b"") for p, c in rows)
+        assert spark.read.parquet(str(tmp_path / "s/chunks")).count() == 3
+
+
+def test_dedup_index_keeps_null_digests(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, None, "x"), (4, None, "x"), (2, "a", "z")], "id long, sha256 string, first_digest string")
+    got = sorted((r["id"], r["sha256"], r["first_digest"], r["already_present"]) for r in dedup.index(rows, "sha256", ["id"]).collect() if r["sha256"])
+    assert got == [(1, "a", "x", False), (2, "a", "y", True), (2, "a", "z", True)]
+    assert sorted(r["id"] for r in dedup.stored(rows, "sha256", ["id"]).collect()) == [1, 3, 4]
+    assert dedup.index(rows, "sha256", ["id"]).count() == 5
+
+
 def test_empty_table(spark, table, tmp_path):
     path = str(tmp_path / "x")
     assert archive.pack(table.limit(0), path)["entry_count"] == 0
@@ -157,12 +185,15 @@ def test_stream(spark, tmp_path):
     os.makedirs(src)
     for name, data in (("a", LOG), ("b", LOG), ("c", b"other")):
         (src / name).write_bytes(data)
-    for more in (None, b"later"):
+    for name, more in ((None, None), ("d", b"later"), ("e", LOG)):
         if more:
-            (src / "d").write_bytes(more)
+            (src / name).write_bytes(more)
         stream.store(stream.arriving(spark, str(src)), out, str(tmp_path / "ck")).awaitTermination(120)
     sizes = sorted(r["original_size"] for r in spark.read.parquet(f"{out}/chunks").collect())
     assert sizes == [5, 5, len(LOG)]
+    got = {os.path.basename(r["path"]): (bytes(r["content"]), r["error"]) for r in archive.extract(spark, out).collect()}
+    assert got == {n: (c, None) for n, c in {"a": LOG, "b": LOG, "c": b"other", "d": b"later", "e": LOG}.items()}
+    assert spark.read.parquet(f"{out}/entries").select("entry_id").distinct().count() == 5
 
 
 def test_options_are_checked():
