@@ -79,11 +79,13 @@ def bwt(df: DataFrame, id_col: str, content: Column) -> DataFrame:
 def mtf(rows: DataFrame) -> DataFrame:
     """Place of a byte: how many distinct bytes came since its last place; at its first, itself plus the larger ones seen.
 
-    A byte's last place before each position comes from a self-join of a text's 256 symbols, not from all pairs of bytes."""
+    A symbol's place counts as its last one from the position after it up to its next one, so each position meets as many rows
+    as there are symbols before it, 256 at most, and not all earlier positions."""
     own = Window.partitionBy("id", "b").orderBy("pos")
     placed = rows.withColumn("last", F.lag("pos").over(own))
-    symbols = rows.select("id", F.col("b").alias("s"), F.col("pos").alias("p"))
-    seen = placed.join(symbols, "id").filter("p < pos").groupBy("id", "pos", "b", "last", "s").agg(F.max("p").alias("p"))
-    counted = seen.groupBy("id", "pos").agg(F.count(F.when(F.col("last").isNotNull() & (F.col("p") > F.col("last")), 1)).alias("since"), F.count(F.when(F.col("s") > F.col("b"), 1)).alias("larger"))
+    until = F.coalesce(F.lead("pos").over(own), F.max("pos").over(Window.partitionBy("id")))
+    spans = rows.select("id", F.col("b").alias("s"), F.col("pos").alias("p"), until.alias("until")).filter("p < until")
+    seen = spans.select("id", "s", "p", F.explode(F.sequence(F.col("p") + 1, F.col("until"))).alias("pos"))
+    counted = placed.join(seen, ["id", "pos"]).groupBy("id", "pos").agg(F.count(F.when(F.col("last").isNotNull() & (F.col("p") > F.col("last")), 1)).alias("since"), F.count(F.when(F.col("s") > F.col("b"), 1)).alias("larger"))
     place = F.when(F.col("last").isNull(), F.col("b") + F.coalesce("larger", F.lit(0))).otherwise(F.coalesce("since", F.lit(0))).cast("int")
     return _packed(placed.join(counted, ["id", "pos"], "left").withColumn("place", place), "place", "hex")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns, detect
+from ..operators import running
 from . import archive
 
 
@@ -15,18 +16,11 @@ def progress(entries: DataFrame, order_col: str, size_col: str, buckets: int = 6
     """(order, phase, bytes_processed, total_bytes, percent_complete) of each entry as its coding begins: the sum of all before
     it by order, as percent of the total (100 if that is 0).
 
-    One running sum over a table would be one task. Entries are dealt into ranges of the order first; a range's sums are
-    windows of their own, and the sums of whole ranges, at most `buckets` rows, are added."""
-    total = entries.agg(F.coalesce(F.sum(size_col), F.lit(0)).alias("total_bytes"))
-    cuts = [r[0] for r in entries.select(F.explode(F.percentile_approx(order_col, [i / buckets for i in range(1, buckets)], 10000)).alias("c")).distinct().collect() if r[0] is not None]
-    part = F.array_position(F.array_sort(F.array(*[F.lit(c) for c in sorted(cuts)])), F.lit(None)) if not cuts else F.size(F.filter(F.array(*[F.lit(c) for c in sorted(cuts)]), lambda c: c < F.col(order_col)))
-    dealt = entries.withColumn("__part", part if cuts else F.lit(0))
-    sums = dealt.groupBy("__part").agg(F.sum(size_col).alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
-    own = F.coalesce(F.sum(size_col).over(Window.partitionBy("__part").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = dealt.withColumn("__own", own).join(F.broadcast(sums), "__part").crossJoin(F.broadcast(total))
-    done = (F.col("__before") + F.col("__own")).alias("bytes_processed")
-    percent = F.when(F.col("total_bytes") > 0, (F.col("__before") + F.col("__own")) * 100.0 / F.col("total_bytes")).otherwise(100.0)
-    return placed.select(F.col(order_col), F.lit("Compressing").alias("phase"), done, "total_bytes", percent.alias("percent_complete"))
+    One running sum over a table would be one task; operators.running sums ranges of the order apart."""
+    total = entries.agg(F.coalesce(F.sum(size_col), F.lit(0)).alias("total_bytes"))  # one row
+    placed = running.with_sum_before(entries, order_col, size_col, "bytes_processed", buckets=buckets).crossJoin(F.broadcast(total))
+    percent = F.when(F.col("total_bytes") > 0, F.col("bytes_processed") * 100.0 / F.col("total_bytes")).otherwise(100.0)
+    return placed.select(F.col(order_col), F.lit("Compressing").alias("phase"), "bytes_processed", "total_bytes", percent.alias("percent_complete"))
 
 
 def phases(total_bytes: int, recovery: bool) -> list[tuple[str, int, float]]:
@@ -35,8 +29,15 @@ def phases(total_bytes: int, recovery: bool) -> list[tuple[str, int, float]]:
 
 
 def file_info(files: DataFrame, path_col: str, content_col: str) -> DataFrame:
-    """(path, name, size, is_dir, detected_type, entropy): type and entropy of the first 8192 bytes."""
+    """(path, name, size, is_dir, detected_type, entropy): type and entropy of the first 8192 bytes; where the rows have a column
+    is_dir, folders are of type Directory, size 0 and entropy 0."""
     head = F.substring(F.col(content_col), 1, detect.PROBE)
+    if "is_dir" in files.columns:
+        folder = F.coalesce("is_dir", F.lit(False))
+        name = F.element_at(F.split(F.rtrim(F.col(path_col).cast("string"), F.lit("/")), "/"), -1)
+        size = F.when(folder, F.lit(0)).otherwise(F.octet_length(content_col)).cast("long")
+        kind = F.when(folder, "Directory").otherwise(detect.detected_type(F.col(content_col)))
+        return files.select(F.col(path_col).cast("string").alias("path"), name.alias("name"), size.alias("size"), folder.alias("is_dir"), kind.alias("detected_type"), F.when(folder, 0.0).otherwise(detect.entropy(head)).alias("entropy"))
     return files.select(F.col(path_col).cast("string").alias("path"), F.element_at(F.split(F.col(path_col).cast("string"), "/"), -1).alias("name"), F.octet_length(content_col).cast("long").alias("size"), F.lit(False).alias("is_dir"), detect.detected_type(F.col(content_col)).alias("detected_type"), detect.entropy(head).alias("entropy"))
 
 

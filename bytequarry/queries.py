@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns, detect, udfs
 from .operators import crypto, dedup, parity, security, tournament
-from .plans import archive, relational, reports, stores
+from .plans import archive, relational, reports, shared, stores
 from .plans.spread import spread
 from .schema import Options
 from .sources import container, files, packages
@@ -58,6 +58,17 @@ DOCS = "WITH " + BYTES.format(id="doc_id", table="documents")
 ITEMS = "WITH " + BYTES.format(id="item_id", table="benchmark")
 
 
+def every(sql: str, column: str, empty: str) -> str:
+    """A row for each document: null where its text is, and the value of an empty text where the SQL has no row for it."""
+    return f"SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(r.{column}, {empty}) END AS {column} FROM documents d LEFT JOIN ({sql}) r ON r.doc_id = d.doc_id"
+
+
+def _every(spark: SparkSession, sf_dir: str, found: DataFrame, column: str, empty) -> DataFrame:
+    """The same for a plan over byte rows, of which empty texts have none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").isNotNull().alias("there"))
+    return docs.join(found.select("doc_id", column), "doc_id", "left").select("doc_id", F.when(F.col("there"), F.coalesce(column, F.lit(empty))).alias(column))
+
+
 # --- scans and statistics -----------------------------------------------------------------------------------------------
 
 
@@ -75,14 +86,15 @@ def _byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTROPY = ", c AS (SELECT id, b, count(*) AS c FROM bt GROUP BY id, b), t AS (SELECT id, sum(c) AS t FROM c GROUP BY id)"
 
 
-@query("entropy", DOCS + ENTROPY + " SELECT id AS doc_id, round(-sum(c / t.t * log2(c / t.t)) + 0.0, 6) AS entropy FROM c JOIN t USING (id) GROUP BY id")
+@query("entropy", every(DOCS + ENTROPY + " SELECT id AS doc_id, round(-sum(c / t.t * log2(c / t.t)) + 0.0, 6) AS entropy FROM c JOIN t USING (id) GROUP BY id", "entropy", "0.0::DOUBLE"))
 def _entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).filter(F.octet_length("content") > 0).select(F.col("id").alias("doc_id"), F.round(detect.entropy(F.col("content")), 6).alias("entropy"))
+    return documents(spark, sf_dir).select(F.col("id").alias("doc_id"), F.round(detect.entropy(F.col("content")), 6).alias("entropy"))
 
 
 @query("entropy_relational", ORACLE_SQL["entropy"])
 def _entropy_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.entropy(rows_of(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.round("entropy", 6).alias("entropy"))
+    found = relational.entropy(rows_of(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.round("entropy", 6).alias("entropy"))
+    return _every(spark, sf_dir, found, "entropy", 0.0)
 
 
 _TEXT = "CASE WHEN regexp_matches({t}, '^\\s*[\\{{\\[]') THEN 'StructuredText(\"JSON\")' WHEN regexp_matches({t}, '^\\s*<') THEN 'StructuredText(\"XML/HTML\")' ELSE 'StructuredText(\"Text/SourceCode/Logs\")' END"
@@ -131,10 +143,13 @@ def _system_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.system_info(spark)
 
 
-@query("scan_files")
+@query("scan_files", "SELECT lang || '/' || doc_id || '.txt' AS path, false AS is_dir, octet_length(encode(coalesce(text, '')))::BIGINT AS size, 420 AS mode, sha256(coalesce(text, '')) AS sha256 FROM documents")
 def _scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The folder of the tables itself as files; contents are not read."""
-    return files.scan(spark, sf_dir).select("path", "is_dir", "size", "mode")
+    """Every document written as a file of the shared folder, and the folder scanned with its subfolders."""
+    root = shared.new_folder(spark, "files")
+    docs = table(spark, sf_dir, "documents").select(F.format_string("%s/%d.txt", "lang", "doc_id").alias("safe_path"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content"), F.lit(None).cast("string").alias("error"))
+    archive.write_files(docs, root.removeprefix("file:"))
+    return files.scan(spark, root.removeprefix("file:")).select("path", "is_dir", "size", "mode", F.sha2("content", 256).alias("sha256"))
 
 
 # --- transforms ---------------------------------------------------------------------------------------------------------
@@ -148,41 +163,40 @@ q AS (SELECT id, b, min(pos) AS pos, count(*) AS n FROM k GROUP BY id, b, g, k)
 SELECT id AS doc_id, string_agg(printf('%02X%02X', n, b), '' ORDER BY pos) AS hex FROM q GROUP BY id"""
 
 
-def _nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).filter(F.octet_length("content") > 0)
-
-
 def _hexed(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _nonempty(spark, sf_dir).select(F.col("id").alias("doc_id"), F.hex(udfs.forward(name, F.col("content"))).alias("hex"))
+        return documents(spark, sf_dir).select(F.col("id").alias("doc_id"), F.hex(udfs.forward(name, F.col("content"))).alias("hex"))
 
     return run
 
 
 for _name, _sql, _plan in (("delta", _DELTA, relational.delta), ("predict", _PREDICT, relational.predict), ("rle", _RLE, relational.rle)):
-    query(_name, _sql)(_hexed(_name))
-    query(f"{_name}_relational", _sql)(lambda spark, sf_dir, plan=_plan: plan(rows_of(spark, sf_dir)).withColumnRenamed("id", "doc_id"))
+    query(_name, every(_sql, "hex", "''"))(_hexed(_name))
+    query(f"{_name}_relational", every(_sql, "hex", "''"))(lambda spark, sf_dir, plan=_plan: _every(spark, sf_dir, plan(rows_of(spark, sf_dir)).withColumnRenamed("id", "doc_id"), "hex", ""))
 
 
-@query("delta_native", _DELTA)
+@query("delta_native", every(_DELTA, "hex", "''"))
 def _delta_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without shuffle and without Python: array functions only."""
-    return spread(_nonempty(spark, sf_dir)).select(F.col("id").alias("doc_id"), columns.hex_of(columns.delta(columns.byte_array(F.col("content")))).alias("hex"))
+    return spread(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), columns.hex_of(columns.delta(columns.byte_array(F.col("content")))).alias("hex"))
 
 
-_TEXT_HEX = "SELECT doc_id, hex(encode(text)) AS hex FROM documents WHERE octet_length(encode(text)) > 0"
+_TEXT_HEX = "SELECT doc_id, hex(encode(text)) AS hex FROM documents"
 
 
 @query("undelta_relational", _TEXT_HEX)
 def _undelta_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = _nonempty(spark, sf_dir).select("id", udfs.forward("delta", F.col("content")).alias("content"))
-    return relational.undelta(relational.byte_rows(coded, "id", F.col("content"))).withColumnRenamed("id", "doc_id")
+    """From the native delta: without Python on either way."""
+    coded = spread(documents(spark, sf_dir)).select("id", F.unhex(columns.hex_of(columns.delta(columns.byte_array(F.col("content"))))).alias("content"))
+    found = relational.undelta(relational.byte_rows(coded, "id", F.col("content"))).withColumnRenamed("id", "doc_id")
+    return _every(spark, sf_dir, found, "hex", "")
 
 
 @query("unrle_native", _TEXT_HEX)
 def _unrle_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = _nonempty(spark, sf_dir).select(F.col("id").alias("doc_id"), udfs.forward("rle", F.col("content")).alias("coded"))
-    return coded.select("doc_id", columns.byte_array(F.col("coded")).alias("pairs")).select("doc_id", columns.hex_of(columns.unrle(F.col("pairs"))).alias("hex"))
+    """From the relational run lengths: without Python on either way."""
+    coded = relational.rle(rows_of(spark, sf_dir)).select(F.col("id").alias("doc_id"), columns.byte_array(F.unhex("hex")).alias("pairs"))
+    return _every(spark, sf_dir, coded.select("doc_id", columns.hex_of(columns.unrle(F.col("pairs"))).alias("hex")), "hex", "")
 
 
 _BWT = ITEMS + """, k AS (SELECT bt.id, pos, bt.n, hx, row_number() OVER (PARTITION BY bt.id ORDER BY substr(hx || hx, 2 * pos + 1, 2 * bt.n), pos) - 1 AS k FROM bt JOIN h USING (id))
@@ -218,6 +232,13 @@ def _mtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir, "benchmark", "item_id").select(F.col("id").alias("item_id"), F.hex(udfs.forward("mtf", F.col("content"))).alias("hex"))
 
 
+@query("bwt_mtf_documents")
+def _bwt_mtf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row and coded bytes of every document, as the relational forms are quadratic (bwt) or slow (mtf) on long texts."""
+    coded = coded_documents(spark, sf_dir).select(F.col("id").alias("doc_id"), udfs.forward("bwt_mtf", F.col("content")).alias("c"))
+    return coded.select("doc_id", F.conv(F.hex(F.substring("c", 1, 4)), 16, 10).cast("long").alias("row"), F.hex(F.expr("substring(c, 5)")).alias("hex"))
+
+
 # --- coders and the tournament ------------------------------------------------------------------------------------------
 
 _HUFFMAN = """WITH RECURSIVE """ + BYTES.format(id="doc_id", table="documents") + """, c AS (SELECT id, b, count(*)::BIGINT AS c FROM bt GROUP BY id, b),
@@ -226,14 +247,15 @@ m AS (SELECT id, f, k, len(f) AS syms FROM f UNION ALL SELECT id, list_sort(list
 SELECT id AS doc_id, CASE WHEN syms = 1 THEN 5 ELSE 1028 + (k + 7) // 8 END::BIGINT AS size FROM m WHERE len(f) = 1"""
 
 
-@query("huffman_size", _HUFFMAN)
+@query("huffman_size", every(_HUFFMAN, "size", "0::BIGINT"))
 def _huffman_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.huffman_size(rows_of(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.col("size").cast("long").alias("size"))
+    found = relational.huffman_size(rows_of(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.col("size").cast("long").alias("size"))
+    return _every(spark, sf_dir, found, "size", 0)
 
 
-@query("huffman_coded_size", _HUFFMAN)
+@query("huffman_coded_size", every(_HUFFMAN, "size", "0::BIGINT"))
 def _huffman_coded_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nonempty(spark, sf_dir).select(F.col("id").alias("doc_id"), F.octet_length(udfs.forward("huffman", F.col("content"))).cast("long").alias("size"))
+    return documents(spark, sf_dir).select(F.col("id").alias("doc_id"), F.octet_length(udfs.forward("huffman", F.col("content"))).cast("long").alias("size"))
 
 
 _SAME = "SELECT doc_id, sha256(text) AS sha256, true AS lossless FROM documents"
@@ -276,6 +298,24 @@ def _lz77_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.groupBy("doc_id").agg(F.sum(F.when(F.col("t.is_match"), F.col("t.length")).otherwise(1)).cast("long").alias("n_bytes"))
 
 
+# Longest common extensions are runs along a diagonal of equal bytes: those end where the next pair differs, or the text does.
+_LZ77 = "WITH RECURSIVE " + BYTES.format(id="item_id", table="benchmark") + """,
+p AS (SELECT a.id, b.pos, b.pos - a.pos AS d, a.n FROM bt a JOIN bt b ON a.id = b.id AND a.b = b.b AND b.pos > a.pos AND b.pos - a.pos <= 32768),
+g AS (SELECT id, pos, d, n, pos - row_number() OVER (PARTITION BY id, d ORDER BY pos) AS g FROM p),
+x AS (SELECT id, pos, d, least(258, max(pos) OVER (PARTITION BY id, d, g) - pos + 1) AS len FROM g),
+m AS (SELECT id, pos, max(len) AS len, min(d) FILTER (WHERE len = most) AS d FROM (SELECT *, max(len) OVER (PARTITION BY id, pos) AS most FROM x) GROUP BY id, pos HAVING max(len) >= 3),
+t AS (SELECT bt.id, bt.pos, bt.n, bt.b, m.len, m.d FROM bt LEFT JOIN m ON m.id = bt.id AND m.pos = bt.pos),
+r AS (SELECT id, pos, n, b, len, d FROM t WHERE pos = 0 UNION ALL SELECT t.id, t.pos, t.n, t.b, t.len, t.d FROM r JOIN t ON t.id = r.id AND t.pos = r.pos + coalesce(r.len, 1))
+SELECT b.item_id, coalesce(string_agg(CASE WHEN r.len IS NULL THEN r.b::VARCHAR ELSE r.d || '/' || r.len END, ' ' ORDER BY r.pos), '') AS tokens FROM benchmark b LEFT JOIN r ON r.id = b.item_id GROUP BY b.item_id"""
+
+
+@query("lz77_parse", _LZ77)
+def _lz77_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens of the benchmark items: a byte, or distance/length of the longest and then nearest earlier match."""
+    tokens = F.transform(udfs.lz_tokens(F.col("content")), lambda t: F.when(t["is_match"], F.concat_ws("/", t["distance"].cast("string"), t["length"].cast("string"))).otherwise(t["literal"].cast("string")))
+    return documents(spark, sf_dir, "benchmark", "item_id").select(F.col("id").alias("item_id"), F.array_join(tokens, " ").alias("tokens"))
+
+
 @query("tournament", "SELECT doc_id, sha256(text) AS sha256, true AS lossless, true AS not_larger FROM documents")
 def _tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = coded_documents(spark, sf_dir).withColumn("c", archive.encode(F.col("content")))
@@ -380,7 +420,52 @@ def _dedup_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- integrity, parity, sealing -----------------------------------------------------------------------------------------
 
 
-@query("checksums")
+def _checksum_sql() -> str:
+    """CRC-32 and XXH64 (seed 0) by their definitions, folded over lists of bytes; 64-bit words wrap in 128-bit numbers."""
+    word = "18446744073709551616::UHUGEINT"
+    # The polynomial of the one and the primes of the other.
+    poly = 0xEDB88320
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+    def bit(k: int) -> int:
+        c = 1 << k
+        for _ in range(8):
+            c = c >> 1 ^ poly if c & 1 else c >> 1
+        return c
+
+    crc = "c >> 8"
+    for k in range(8):
+        crc = f"xor({crc}, ((xor(c, x) >> {k}) & 1) * {bit(k)})"
+
+    def turn(a: str, r: int) -> str:
+        return f"(({a} % {1 << (64 - r)}::UHUGEINT) * {1 << r}::UHUGEINT + {a} // {1 << (64 - r)}::UHUGEINT)"
+
+    def little(q: str, k: int) -> str:
+        return "(" + " + ".join(f"(b[{q} + {i + 1}] << {8 * i})" for i in range(k)) + ")::UHUGEINT"
+
+    def mixed(acc: str, x: str) -> str:
+        return f"({turn(f'(({acc} + {x} * {p2} % {word}) % {word})', 31)} * {p1} % {word})"
+
+    starts = (f"({p1} + {p2}) % {word}", p2, "0::UHUGEINT", f"{word} - {p1}")
+    lanes = ", ".join(f"list_reduce(list_prepend({s}, list_transform(range(n // 32), lambda i: {little(f'32 * i + {8 * j}', 8)})), lambda a, x: {mixed('a', 'x')}) AS v{j}" for j, s in enumerate(starts))
+    merged = "".join(f"m{j + 1} AS (SELECT * EXCLUDE (h), CASE WHEN n < 32 THEN h ELSE (xor(h, {mixed('0::UHUGEINT', f'v{j}')}) * {p1} + {p4}) % {word} END AS h FROM m{j}),\n" for j in range(4))
+    return f"""
+WITH b AS (SELECT doc_id, octet_length(encode(text))::BIGINT AS n, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::UBIGINT) AS b FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::UBIGINT, b), lambda c, x: {crc}), 4294967295::UBIGINT)::BIGINT AS crc32 FROM b),
+l AS (SELECT doc_id, n, b, {lanes} FROM b),
+m0 AS (SELECT *, CASE WHEN n < 32 THEN {p5} ELSE ({turn('v0', 1)} + {turn('v1', 7)} + {turn('v2', 12)} + {turn('v3', 18)}) % {word} END AS h FROM l),
+{merged}e0 AS (SELECT doc_id, n, b, (h + n::UHUGEINT) % {word} AS h, n // 32 * 32 AS q FROM m4),
+e1 AS (SELECT doc_id, n, b, list_reduce(list_prepend(h, list_transform(range((n - q) // 8), lambda i: {mixed('0::UHUGEINT', little('q + 8 * i', 8))})), lambda a, k: ({turn('xor(a, k)', 27)} * {p1} + {p4}) % {word}) AS h, n // 8 * 8 AS q FROM e0),
+e2 AS (SELECT doc_id, n, b, CASE WHEN n - q >= 4 THEN ({turn(f'xor(h, {little("q", 4)} * {p1} % {word})', 23)} * {p2} + {p3}) % {word} ELSE h END AS h, n // 4 * 4 AS q FROM e1),
+e3 AS (SELECT doc_id, list_reduce(list_prepend(h, list_transform(range(n - q), lambda i: b[q + i + 1]::UHUGEINT * {p5} % {word})), lambda a, k: {turn('xor(a, k)', 11)} * {p1} % {word}) AS h FROM e2),
+f1 AS (SELECT doc_id, xor(h, h // {1 << 33}::UHUGEINT) * {p2} % {word} AS h FROM e3),
+f2 AS (SELECT doc_id, xor(h, h // {1 << 29}::UHUGEINT) * {p3} % {word} AS h FROM f1),
+f3 AS (SELECT doc_id, xor(h, h // {1 << 32}::UHUGEINT) AS h FROM f2)
+SELECT d.doc_id, c.crc32, (CASE WHEN f3.h >= 9223372036854775808::UHUGEINT THEN f3.h::HUGEINT - 18446744073709551616::HUGEINT ELSE f3.h::HUGEINT END)::BIGINT AS xxhash64
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN f3 ON f3.doc_id = d.doc_id"""
+
+
+@query("checksums", _checksum_sql())
 def _checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(F.col("id").alias("doc_id"), F.crc32("content").alias("crc32"), udfs.xxh64(F.col("content")).alias("xxhash64"))
 
@@ -528,11 +613,11 @@ def _staged_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("total_bytes"), F.count("*").alias("files"))
 
 
-@query("coded_report", "WITH z AS (" + _HUFFMAN + "), n AS (SELECT doc_id, lang, octet_length(encode(text))::BIGINT AS n FROM documents) SELECT lang, count(*) AS docs, sum(n)::BIGINT AS original_bytes, sum(least(n, size))::BIGINT AS coded_bytes, round(sum(n) / sum(least(n, size)), 6) AS ratio, round((sum(n) - sum(least(n, size))) * 100.0 / sum(n), 6) AS saved_percent FROM n JOIN z USING (doc_id) GROUP BY lang")
+@query("coded_report", "WITH z AS (" + _HUFFMAN + "), n AS (SELECT doc_id, lang, octet_length(encode(text))::BIGINT AS n FROM documents) SELECT lang, count(*) AS docs, sum(n)::BIGINT AS original_bytes, sum(least(n, size))::BIGINT AS coded_bytes, round(sum(n) / sum(least(n, size)), 6) AS ratio, round((sum(n) - sum(least(n, size))) * 100.0 / sum(n), 6) AS saved_percent FROM (SELECT n.*, coalesce(z.size, 0) AS size FROM n LEFT JOIN z ON z.doc_id = n.doc_id WHERE n.n IS NOT NULL) GROUP BY lang")
 def _coded_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of the better of raw and Huffman coding, from byte counts alone: no bit is written."""
     size = F.pandas_udf(_huffman_sizes, "bigint")(F.col("content"))
-    sized = table(spark, sf_dir, "documents").select("lang", F.col("text").cast("binary").alias("content")).filter(F.octet_length("content") > 0)
+    sized = table(spark, sf_dir, "documents").select("lang", F.col("text").cast("binary").alias("content")).filter("content is not null")
     out = sized.select("lang", F.octet_length("content").cast("long").alias("n"), size.alias("size")).groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("original_bytes"), F.sum(F.least("n", "size")).alias("coded_bytes"))
     return out.withColumn("ratio", F.round(columns.ratio(F.col("original_bytes"), F.col("coded_bytes")), 6)).withColumn("saved_percent", F.round(columns.saved_percent(F.col("original_bytes"), F.col("coded_bytes")), 6))
 
@@ -544,21 +629,7 @@ def _huffman_sizes(s: pd.Series) -> pd.Series:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    import tempfile
-    import uuid
-
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="bytequarry-"))
-        named = sc.getCheckpointDir()
-    path = f"{named.rstrip('/')}/archive-{uuid.uuid4().hex}"
-    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    return shared.new_folder(spark, "archive")
 
 
 def _packed(spark: SparkSession, sf_dir: str, options: Options) -> str:
@@ -639,7 +710,7 @@ def _packages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = []
         for number, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data, sink = content.as_py(), io.BytesIO()
+            data, sink = content.as_py() or b"", io.BytesIO()
             half = len(data) // 2
             parts = ((f"{number}/a.txt", data[:half]), (f"{number}/b.txt", data[half:]))
             if number % 2 == 0:
@@ -656,21 +727,21 @@ def _packages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "content"])
 
 
-_MEMBERS = "WITH h AS (SELECT doc_id, hex(encode(text)) AS hx, octet_length(encode(text))::BIGINT AS n FROM documents), m AS (SELECT doc_id, 'a' AS m, n // 2 AS size, substr(hx, 1, 2 * (n // 2)) AS hx FROM h UNION ALL SELECT doc_id, 'b', n - n // 2, substr(hx, 2 * (n // 2) + 1) FROM h) SELECT doc_id::VARCHAR AS package, doc_id || '/' || m || '.txt' AS path, size, sha256(unhex(hx)) AS sha256 FROM m"
+_MEMBERS = "WITH h AS (SELECT doc_id, hex(encode(text)) AS hx, octet_length(encode(text))::BIGINT AS n FROM documents), m AS (SELECT doc_id, 'a' AS m, n // 2 AS size, substr(hx, 1, 2 * (n // 2)) AS hx FROM h UNION ALL SELECT doc_id, 'b', n - n // 2, substr(hx, 2 * (n // 2) + 1) FROM h) SELECT doc_id::VARCHAR AS package, doc_id || '/' || m || '.txt' AS path, size, sha256(unhex(hx)) AS sha256, NULL::VARCHAR AS error FROM m"
 
 
 @query("package_members", _MEMBERS)
 def _package_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = documents(spark, sf_dir).mapInArrow(_packages, "id bigint, content binary")
     found = packages.members(packed, "id", "content", contents=True)
-    return found.filter("error is null").select("package", "path", "size", F.sha2("content", 256).alias("sha256"))
+    return found.select("package", "path", "size", F.sha2("content", 256).alias("sha256"), "error")
 
 
-@query("package_nested", "WITH h AS (SELECT doc_id, octet_length(encode(text))::BIGINT AS n FROM documents) SELECT doc_id::VARCHAR AS root, doc_id || '/' || m AS path, 1 AS depth, CASE WHEN m = 'a.txt' THEN n // 2 ELSE n - n // 2 END AS size, false AS is_container FROM h, (SELECT unnest(['a.txt', 'b.txt']) AS m) UNION ALL SELECT doc_id::VARCHAR, '', 0, NULL, true FROM h")
+@query("package_nested", "WITH h AS (SELECT doc_id, octet_length(encode(text))::BIGINT AS n FROM documents) SELECT doc_id::VARCHAR AS root, doc_id || '/' || m AS path, 1 AS depth, CASE WHEN m = 'a.txt' THEN n // 2 ELSE n - n // 2 END AS size, false AS is_container, NULL::VARCHAR AS error FROM h, (SELECT unnest(['a.txt', 'b.txt']) AS m) UNION ALL SELECT doc_id::VARCHAR, '', 0, NULL, true, NULL FROM h")
 def _package_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = documents(spark, sf_dir).mapInArrow(_packages, "id bigint, content binary")
     found = packages.nested(packed, "id", "content")
-    return found.select("root", "path", "depth", F.when(F.col("depth") > 0, F.col("size")).alias("size"), "is_container")
+    return found.select("root", "path", "depth", F.when(F.col("depth") > 0, F.col("size")).alias("size"), "is_container", "error")
 
 
 @query("package_convert", "WITH m AS (" + _MEMBERS + ") SELECT package || '/' || path AS path, size, sha256, true AS sound FROM m")

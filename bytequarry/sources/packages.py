@@ -9,6 +9,7 @@ import lzma
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import zstandard
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..errors import FormatError, SecurityError
 from ..functions import detect
 from ..operators import security
+from ..plans import shared
 from ..schema import FILE_MODE
 
 Member = tuple[str, bool, int, Callable[[], bytes]]
@@ -124,21 +126,26 @@ def members(df: DataFrame, id_col: str, content_col: str, contents: bool = False
 
 
 def nested(df: DataFrame, id_col: str, content_col: str, max_depth: int = security.MAX_DEPTH) -> DataFrame:
-    """(root, path, depth, kind, size, is_container) of each row and, level by level, of all that its packages hold.
+    """(root, path, depth, kind, size, is_container, error) of each row and, level by level, of all that its packages hold.
 
-    A level that still holds packages below max_depth stops the query."""
+    A package that cannot be read stays with the error. Each level is written to the shared folder, so no package is opened
+    twice. A level that still holds packages below max_depth stops the query."""
     level = df.select(F.col(id_col).cast("string").alias("root"), F.lit("").alias("path"), F.col(content_col).alias("content"))
-    out = None
+    level = level.withColumn("number", F.monotonically_increasing_id())
+    parts: list[DataFrame] = []
     for depth in range(max_depth + 2):
         security.check_depth(depth, max_depth)
-        seen = level.withColumn("kind", detect.detected_type(F.col("content")))
-        part = seen.select("root", "path", F.lit(depth).alias("depth"), "kind", F.octet_length("content").cast("long").alias("size"), detect.is_container(F.col("kind")).alias("is_container"))
-        out = part if out is None else out.union(part)
+        seen = shared.written(level.withColumn("kind", detect.detected_type(F.col("content"))), "nested")
         inner = seen.filter(F.col("kind").isin([k for k, _ in READERS]))
-        if inner.limit(1).count() == 0:
-            return out
-        key = inner.select(F.to_json(F.struct("root", "path")).alias("key"), "content")
-        opened = members(key, "key", "content", contents=True).filter("error is null and not is_dir")
-        above = F.from_json("package", "root string, path string")
-        level = opened.select(above["root"].alias("root"), F.concat_ws("/", F.nullif(above["path"], F.lit("")), "path").alias("path"), "content")
-    return out
+        last = inner.limit(1).count() == 0
+        opened = members(inner if not last else inner.limit(0), "number", "content", contents=True)
+        opened = shared.written(opened.select(F.col("package").cast("long").alias("within"), "path", "is_dir", "content", "error"), "nested")
+        failed = opened.filter("error is not null").select("within", "error")
+        listed = seen.select("root", "path", F.lit(depth).alias("depth"), "kind", F.octet_length("content").cast("long").alias("size"), detect.is_container(F.col("kind")).alias("is_container"), "number")
+        parts.append(listed.join(failed, F.col("number") == F.col("within"), "left").drop("number", "within"))
+        if last:
+            break
+        above = seen.select(F.col("number").alias("within"), "root", F.col("path").alias("above"))
+        found = opened.filter("error is null and not is_dir").join(above, "within")
+        level = found.select("root", F.concat_ws("/", F.nullif("above", F.lit("")), "path").alias("path"), "content").withColumn("number", F.monotonically_increasing_id())
+    return reduce(DataFrame.unionByName, parts)
