@@ -15,6 +15,9 @@ TABLE = 4 + 4 * 256
 RANGE_TOTAL, RANGE_LOW = 65535, 1 << 24
 CHUNK_LEAST, CHUNK_AVERAGE, CHUNK_MOST = 4096, 16384, 65536
 
+PEEK, STEP = 16, 1 << 16
+"""Bits that the Huffman decoder looks up at once, and bytes that it and the encoder work on at a time."""
+
 
 # --- LZ77 ---------------------------------------------------------------------------------------------------------------
 
@@ -28,29 +31,75 @@ class Token:
     length: int = 0
 
 
+PROBES = (3, 4, 5, 6, 8, 16, 32)
+"""Lengths for which the nearest earlier occurrence of each position's bytes is known before parsing starts."""
+
+
+def _nearest(data: bytes) -> list[list[int]]:
+    """For each length of PROBES and position the nearest earlier place with the same so many bytes, or -1."""
+    n = len(data)
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    words = np.zeros(n, np.uint64)
+    for k in range(8):
+        words = (words << np.uint64(8)) | padded[k : k + n]
+    out, rank = [], words
+    for length in PROBES:
+        key = rank
+        if length < 8:
+            key = words >> np.uint64(8 * (8 - length))
+        elif length > 8:  # two halves of half the length
+            half = length // 2
+            after = np.full(n, n, np.int64)
+            if n > half:
+                after[: n - half] = rank[half:]
+            key = rank.astype(np.int64) * (n + 1) + after
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        if length >= 8:
+            rank = np.empty(n, np.int64)
+            rank[order] = np.concatenate([[0], np.cumsum(~same)])
+        before = np.full(n, -1, np.int64)
+        before[order[1:][same]] = order[:-1][same]
+        before[max(0, n - length + 1) :] = -1
+        out.append(before.tolist())
+    return out
+
+
 def lz_tokens(data: bytes) -> list[tuple[int, int, int]]:
     """(literal, distance, length) by greedy parsing: the longest earlier match in the window, the nearest among the longest;
-    copies may overlap themselves. Searches grow the wanted length from the nearest match found so far."""
+    copies may overlap themselves. The probes give the nearest match of the greatest probed length; only lengths up to the next
+    probe, which has none, are left to search for, from that match on."""
     out, at, n, find = [], 0, len(data), data.rfind
+    if n <= SHORTEST:
+        return [(b, 0, 0) for b in data]
+    nearest = list(zip(PROBES, _nearest(data), strict=True))
+    first = nearest[0][1]
     while at < n:
-        most = min(n - at, LONGEST)
-        length = source = 0
-        if most >= SHORTEST:
-            low, want = max(0, at - WINDOW), SHORTEST
-            while want <= most:
-                found = find(data[at : at + want], low, at + want - 1)
-                if found < 0:
-                    break
-                source, length = found, want
-                while length < most and data[source + length] == data[at + length]:
-                    length += 1
-                want = length + 1
-        if length:
-            out.append((0, at - source, length))
-            at += length
-        else:
+        low = at - WINDOW if at > WINDOW else 0
+        source = first[at]
+        if source < low:
             out.append((data[at], 0, 0))
             at += 1
+            continue
+        most = length = min(n - at, LONGEST)
+        reach = SHORTEST
+        for probe, before in nearest:
+            if before[at] < low:
+                most = min(most, probe - 1)
+                break
+            source, reach = before[at], probe
+        length = min(reach, most)
+        while True:
+            while length < most and data[source + length] == data[at + length]:
+                length += 1
+            if length >= most:
+                break
+            found = find(data[at : at + length + 1], low, source + length)
+            if found < 0:
+                break
+            source, length = found, length + 1
+        out.append((0, at - source, length))
+        at += length
     return out
 
 
@@ -162,8 +211,14 @@ def huffman_encode(data: bytes) -> bytes:
         size[s] = len(code)
         bits[s, : len(code)] = np.frombuffer(code.encode(), np.uint8) - 48
     b = np.frombuffer(data, np.uint8)
-    payload = np.packbits(bits[b][np.arange(longest) < size[b][:, None]])
-    return head + counts.astype(">u4").tobytes() + payload.tobytes()
+    parts, rest = [head, counts.astype(">u4").tobytes()], np.zeros(0, np.uint8)
+    for at in range(0, len(b), STEP):
+        own = b[at : at + STEP]
+        stream = np.concatenate([rest, bits[own][np.arange(longest) < size[own][:, None]]])
+        whole = len(stream) // 8 * 8
+        parts.append(np.packbits(stream[:whole]).tobytes())
+        rest = stream[whole:]
+    return b"".join([*parts, np.packbits(rest).tobytes()])
 
 
 def huffman_decode(data: bytes) -> bytes:
@@ -183,22 +238,55 @@ def huffman_decode(data: bytes) -> bytes:
         raise DecodeError("Huffman table without symbols")
     if (len(data) - TABLE) * 8 < n * min(map(len, codes.values())):
         raise DecodeError("Huffman bits end early")
-    by_bits = {code: s for s, code in codes.items()}
-    shortest = min(map(len, by_bits))
-    bits = np.unpackbits(np.frombuffer(data[TABLE:], np.uint8)).astype("U1")
-    stream = "".join(bits.tolist())
-    out, at, get = bytearray(), 0, by_bits.get
-    for _ in range(n):
-        end = at + shortest
-        while (s := get(stream[at:end])) is None:
-            end += 1
-            if end > len(stream):
+    symbol, length, long = np.zeros(1 << PEEK, np.uint8), np.zeros(1 << PEEK, np.uint8), {}
+    for s, code in codes.items():
+        if len(code) <= PEEK:
+            low, spread = int(code, 2) << (PEEK - len(code)), 1 << (PEEK - len(code))
+            symbol[low : low + spread], length[low : low + spread] = s, len(code)
+        else:
+            long[code] = s
+    payload = np.frombuffer(data, np.uint8)[TABLE:]
+    ends = len(payload) * 8
+    out, at, left = [], 0, n
+    while left:
+        base = at // 8
+        own = np.zeros(min(STEP, len(payload) - base) + 2, np.uint32)
+        own[: min(len(own), len(payload) - base)] = payload[base : base + len(own)]
+        three = own[:-2] << 16 | own[1:-1] << 8 | own[2:]
+        peek = (three[:, None] >> np.arange(8, 0, -1, dtype=np.uint32) & 0xFFFF).ravel()
+        steps = length[peek].tobytes()
+        places, here, limit = [], at - base * 8, len(steps)
+        add = places.append
+        while here < limit and (step := steps[here]):
+            add(here)
+            here += step
+        places = np.array(places[:left], np.int64)
+        out.append(symbol[peek[places]].tobytes())
+        left -= len(places)
+        if left:
+            at = base * 8 + here
+            if here < limit:  # a code longer than what was peeked at, or none
+                s, at = _long_symbol(payload, at, long)
+                out.append(bytes([s]))
+                left -= 1
+            if left and at >= ends:
                 raise DecodeError("Huffman bits end early")
-        out.append(s)
-        at = end
-    if at > len(stream):
+        else:
+            last = int(places[-1])
+            at = base * 8 + last + steps[last]
+    if at > ends:
         raise DecodeError("Huffman bits end early")
-    return bytes(out)
+    return b"".join(out)
+
+
+def _long_symbol(payload: np.ndarray, at: int, codes: dict[str, int]) -> tuple[int, int]:
+    """The symbol whose code of more than PEEK bits starts at a bit, and where it ends."""
+    most = max(map(len, codes), default=0)
+    bits = "".join(map(str, np.unpackbits(payload[at // 8 : (at + most) // 8 + 1])[at % 8 :][:most].tolist()))
+    for end in range(PEEK + 1, len(bits) + 1):
+        if bits[:end] in codes:
+            return codes[bits[:end]], at + end
+    raise DecodeError("Huffman bits end early")
 
 
 # --- Range coder --------------------------------------------------------------------------------------------------------

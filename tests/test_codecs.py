@@ -1,7 +1,9 @@
 """Transforms, coders and pipelines as functions on bytes."""
 
+import math
 import os
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -145,3 +147,138 @@ def test_short_inputs_stay_raw_and_long_ones_skip_the_sort():
     assert "BwtMtfRle" in tournament.candidates(bytes(1 << 20))
     assert "BwtMtfRle" not in tournament.candidates(bytes((1 << 20) + 1))
     assert "BwtMtfRle" in tournament.candidates(bytes((1 << 20) + 1), research=True)
+
+
+def slow_tokens(data):
+    """Every distance at every position."""
+    out, at = [], 0
+    while at < len(data):
+        best, where = 0, 0
+        for d in range(1, min(at, coders.WINDOW) + 1):
+            n = 0
+            while n < coders.LONGEST and at + n < len(data) and data[at + n] == data[at - d + n]:
+                n += 1
+            if n > best:
+                best, where = n, d
+        out.append((0, where, best) if best >= coders.SHORTEST else (data[at], 0, 0))
+        at += best if best >= coders.SHORTEST else 1
+    return out
+
+
+def test_matches_are_the_longest_and_then_the_nearest():
+    rnd = random.Random(21)
+    texts = [b"", b"a", b"aaa", b"aaaa", b"ab" * 300, b"a" * 700, LOG[:1500], bytes(range(256)) * 2]
+    for _ in range(120):
+        letters = bytes(rnd.sample(range(256), rnd.randrange(1, 6)))
+        texts.append(bytes(rnd.choice(letters) for _ in range(rnd.randrange(300))))
+        words = [bytes(rnd.choice(letters) for _ in range(rnd.randrange(1, 45))) for _ in range(4)]
+        texts.append(b"".join(rnd.choice(words) for _ in range(rnd.randrange(20))))
+    for t in texts:
+        assert coders.lz_tokens(t) == slow_tokens(t)
+    far = b"a needle of some bytes" + bytes(rnd.randrange(256) for _ in range(coders.WINDOW - 22))
+    for gap in (b"", b"x"):
+        assert coders.lz_expand(coders.lz_tokens(far + gap + far[:22])) == far + gap + far[:22]
+        assert [t for t in coders.lz_tokens(far + gap + far[:22])[-6:] if t[1] == coders.WINDOW] == ([] if gap else [(0, coders.WINDOW, 22)])
+
+
+def slow_huffman(data):
+    """Bits from code strings, by a tree of its own; ties go to the smaller symbol, then to what was made first."""
+    counts = [data.count(bytes([s])) for s in range(256)]
+    trees = [(c, k, [(s, "")]) for k, (s, c) in enumerate((s, c) for s, c in enumerate(counts) if c)]
+    made = 256
+    while len(trees) > 1:
+        trees.sort(key=lambda t: t[:2])
+        (a, _, x), (b, _, y) = trees[:2]
+        trees = [*trees[2:], (a + b, made, [(s, "0" + p) for s, p in x] + [(s, "1" + p) for s, p in y])]
+        made += 1
+    code = dict(trees[0][2])
+    bits = "".join(code[b] for b in data)
+    bits += "0" * (-len(bits) % 8)
+    return len(data).to_bytes(4, "big") + b"".join(c.to_bytes(4, "big") for c in counts) + bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+
+def test_huffman_bytes(monkeypatch):
+    rnd = random.Random(22)
+    fibonacci, a, b = b"", 1, 1
+    for s in range(22):  # codes of up to 21 bits
+        fibonacci += bytes([s]) * a
+        a, b = b, a + b
+    texts = [b"ab", b"aab", LOG[:4000], bytes(range(256)), bytes(rnd.randrange(7) ** 2 for _ in range(3000)), bytes(rnd.sample(fibonacci, len(fibonacci)))]
+    for step in (coders.STEP, 100):
+        monkeypatch.setattr(coders, "STEP", step)
+        for t in texts:
+            coded = coders.huffman_encode(t)
+            assert coded == slow_huffman(t) and coders.huffman_decode(coded) == t
+            with pytest.raises(DecodeError):
+                coders.huffman_decode(coded[:-1])
+
+
+def slow_range_size(data):
+    """Bytes of an ideal coder under the static model, in exact arithmetic."""
+    from fractions import Fraction
+
+    counts = Counter(data)
+    weight = {s: max(1, c * 65535 // len(data)) for s, c in counts.items()}
+    total, size = sum(weight.values()), Fraction(1)
+    for s, c in counts.items():
+        size *= Fraction(weight[s], total) ** c
+    return 1028 + math.log2(size.denominator) / 8 - math.log2(size.numerator) / 8
+
+
+def test_range_sizes():
+    rnd = random.Random(23)
+    for t in (b"a" * 900, LOG[:3000], bytes(rnd.randrange(256) for _ in range(900)), bytes(rnd.choice(b"aaaaab") for _ in range(900))):
+        coded = coders.range_encode(t)
+        assert coders.range_decode(coded) == t and abs(len(coded) - slow_range_size(t)) < 8 and coders.range_floor(t) <= len(coded)
+        assert coded[:4] == len(t).to_bytes(4, "big") and len(coded) >= 1028
+
+
+def test_winners_by_sizes_of_their_own():
+    """The tournament against sizes from this file's models: brute-force matches, sorted rotations, trees of strings."""
+    rnd = random.Random(24)
+
+    def huffman_size(x):
+        return 0 if not x else 5 if len(set(x)) == 1 else len(slow_huffman(x))
+
+    def tokens(x):
+        return b"".join(b"\1" + d.to_bytes(2, "big") + n.to_bytes(2, "big") if d else bytes([0, c]) for c, d, n in slow_tokens(x))
+
+    def bwt_mtf_rle(x):
+        turns = sorted(range(len(x)), key=lambda i: (x[i:] + x[:i], i))
+        table, moved = list(range(256)), []
+        for c in (x[i - 1] for i in turns):
+            moved.append(table.index(c))
+            table.insert(0, table.pop(moved[-1]))
+        y, out = turns.index(0).to_bytes(4, "big") + bytes(moved), []
+        for c in y:
+            if out and out[-1][1] == c and out[-1][0] < 255:
+                out[-1][0] += 1
+            else:
+                out.append([1, c])
+        return bytes(v for pair in out for v in pair)
+
+    def predicted(x):
+        table, before, out = [0] * 256, 0, []
+        for c in x:
+            out.append((c - table[before]) % 256)
+            table[before], before = c, c
+        return bytes(out)
+
+    words = [b"status", b"login", b"user", b"of", b"the", b"and", b"error"]
+    texts = [b" ".join(rnd.choice(words) for _ in range(n)) for n in (10, 200, 300, 500)] + [LOG[:2500], bytes(rnd.randrange(256) for _ in range(1500)), b"".join(bytes([i % 251]) * 3 for i in range(700)), b"x" * 1500]
+    won = set()
+    for t in texts:
+        sizes = {"Raw": len(t)}
+        if len(t) > 1029:
+            delta = bytes((c - p) % 256 for c, p in zip(t, b"\0" + t, strict=False))
+            sizes |= {"Lz77Huffman": huffman_size(tokens(t)), "BwtMtfRle": huffman_size(bwt_mtf_rle(t))}
+            ranged = {"DeltaPredictorRange": slow_range_size(predicted(delta)), "ContextPredictorRange": slow_range_size(predicted(t))}
+            for m, size in ranged.items():
+                if size < min(sizes.values()) + 8:  # near the others: the coder's own bytes decide
+                    sizes[m] = len(tournament.encode(m, t))
+        order = list(tournament.METHODS)
+        want = min(sizes, key=lambda m: (sizes[m], order.index(m)))
+        method, coded = tournament.best(t)
+        assert (method, len(coded)) == (want, sizes[want])
+        won.add(method)
+    assert len(won) >= 3
