@@ -65,3 +65,33 @@ c AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(rege
 t AS (SELECT page_id, url, coalesce(array_to_string(parts, chr(10) || chr(10)), '') AS text FROM c)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
 """
+
+_PARTS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+# r holds, step by step, the pairs of equal words that no tile covers yet; a tile is the longest run along a diagonal, the first in
+# the item, then in the text.
+TILES = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_PARTS} AS ws FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, ws, len(ws) AS n, least(5, len(ws)) AS least FROM (SELECT item_id, {_PARTS} AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(ws) > 0),
+ig AS (SELECT DISTINCT item_id, least, array_to_string(ws[k:k + least - 1], ' ') AS g FROM i, unnest(range(1, n - least + 2)) u(k)),
+dg AS (SELECT DISTINCT doc_id, s.least, array_to_string(ws[k:k + s.least - 1], ' ') AS g FROM d, (SELECT DISTINCT least FROM i) s, unnest(range(1, len(ws) - s.least + 2)) u(k)),
+p AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig ON dg.g = ig.g AND dg.least = ig.least),
+iw AS (SELECT item_id, least, k AS a, ws[k] AS w FROM i, unnest(range(1, n + 1)) u(k)),
+dw AS (SELECT doc_id, k AS b, ws[k] AS w FROM d, unnest(range(1, len(ws) + 1)) u(k) WHERE doc_id IN (SELECT doc_id FROM p)),
+r AS (
+  SELECT 0 AS step, p.doc_id, p.item_id, iw.least, a, b FROM p JOIN iw ON iw.item_id = p.item_id JOIN dw ON dw.doc_id = p.doc_id AND dw.w = iw.w
+  UNION ALL
+  SELECT step + 1, doc_id, item_id, least, a, b FROM (
+    SELECT *, max({{'n': n, 'a': -a0, 'b': -b0}}) OVER (PARTITION BY doc_id, item_id) AS t FROM (
+      SELECT *, count(*) OVER g AS n, min(a) OVER g AS a0, min(b) OVER g AS b0 FROM (
+        SELECT *, a - row_number() OVER (PARTITION BY doc_id, item_id, b - a ORDER BY a) AS run FROM r)
+      WINDOW g AS (PARTITION BY doc_id, item_id, b - a, run)))
+  WHERE t.n >= least AND NOT (a >= -t.a AND a < -t.a + t.n) AND NOT (b >= -t.b AND b < -t.b + t.n)
+),
+best AS (
+  SELECT step, doc_id, item_id, least, max(n) AS n FROM (
+    SELECT *, count(*) OVER (PARTITION BY step, doc_id, item_id, b - a, run) AS n FROM (
+      SELECT *, a - row_number() OVER (PARTITION BY step, doc_id, item_id, b - a ORDER BY a) AS run FROM r)) GROUP BY step, doc_id, item_id, least)
+SELECT doc_id, best.item_id, i.n::BIGINT AS n_words, sum(best.n)::BIGINT AS n_covered, count(*)::BIGINT AS n_tiles, round(sum(best.n) / i.n, 6) AS coverage
+FROM best JOIN i ON i.item_id = best.item_id WHERE best.n >= best.least GROUP BY doc_id, best.item_id, i.n HAVING 2 * sum(best.n) >= i.n
+"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .ann import ORACLE as ANN_SQL
 from .ann import op10_ann
 from .bpe import op7_bpe
 from .decontaminate import op9_decontaminate
@@ -38,4 +39,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_html": oracles.MAIN_TEXT,
     "op5_lm_score": LM_SQL,
     "op6_minhash": oracles.MINHASH,
+    "op9_decontaminate": oracles.TILES,
+    "op10_ann": ANN_SQL,
 }

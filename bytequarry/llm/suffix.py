@@ -9,18 +9,20 @@ leftmost least hash of its GRAM-byte grams, so equal strings have equal anchors
 Consecutive strings with one anchor form a stretch.
 
 1. Each chunk of documents sends its distinct (gram, stretch) pairs, with the first place of each, to the partition of the
-   gram. The partition answers for each: alone, or seen earlier, or first but with other stretches around the same gram.
+   gram: equal stretches are one leaf of the tree. The partition answers for each: alone, or seen earlier, or first but with
+   other stretches around the same gram.
 2. Only the last sort, the ends of repeats, needs bytes: their stretches meet by gram, as suffixes that start at the anchor.
    The interval tree over them gives for each node the strings that share so many bytes to the right; within a node, places
    sorted by what stands to the left give for each place the longest left extension it shares with an earlier one. So each
    stretch learns which of its strings start earlier elsewhere.
-3. A gram with more than HOT stretches would be an unbounded group: its strings are sent one by one instead, by their own
-   hash, and each partition answers whether they were seen earlier. A chunk that holds more than MANY stretches of a gram by
-   itself sends a mark in their place, and the gram goes this way too.
+3. A gram with more than HOT different stretches would be an unbounded group of suffixes: its strings are leaves by themselves,
+   sent one by one by their own hash, and each partition answers whether they were seen earlier. A chunk that holds more than
+   MANY stretches of a gram by itself sends a mark in their place, and the gram goes this way too.
 
+What hashes decide, without a look at the bytes: that two stretches are equal (104 bits: 56 of the gram, 48 of the stretch) and
+that two strings around a gram of the third kind are (64 bits). Everything else is compared byte by byte.
 A pair is sent once by each chunk, however often the chunk holds it, so a gram costs its partition MANY entries a chunk at
 most, of the hundred thousands that a chunk sends.
-Hashes: grams 56 bits within a partition's range, stretches 48 bits within a gram, single strings 56 bits and 8 within.
 """
 
 from __future__ import annotations

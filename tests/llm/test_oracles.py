@@ -25,8 +25,4 @@ def test_query(spark, name):
         assert sorted(df.columns) == columns
         assert sorted(repr(tuple(r[x] for x in columns)) for r in got) == sorted(repr(tuple(r[k] for k in order)) for r in want.fetchall())
         return
-    n = {"op3_html": "select count(*) from pages", "op10_ann": "select 20 * count(*) from embeddings where vec_id % 20 = 0"}.get(name, "select count(*) from documents")
-    if name == "op9_decontaminate":
-        assert {r["item_id"] for r in got} <= {r[0] for r in c.execute("select item_id from benchmark").fetchall()} and got
-    else:
-        assert len(got) == c.execute(n).fetchone()[0]
+    assert len(got) == c.execute("select count(*) from documents").fetchone()[0]
