@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import common
 
@@ -172,7 +174,8 @@ def _decoded(path: str, pattern: str):
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) for each row; null text is empty and gives no ids. Rows and repeated ids stay as they are."""
+    """(id, ids) for each row; null text is empty and gives no ids. Rows and repeated ids stay as they are; texts are read whole, and
+    a merge costs the logarithm of its piece's length, so a long text without breaks is no harder than a short one."""
     return df.selectExpr(f"cast(`{id_col}` as bigint) id", f"`{text_col}` content").mapInArrow(common.lean(_encoded(path, pattern)), "id bigint, ids array<bigint>")
 
 
@@ -190,8 +193,8 @@ def _tokens(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for a, b in common.slices(common.string_buffers(batch.column(batch.num_columns - 1))[1]):
+                part = batch.slice(a, b - a)
                 texts = [x.as_py() or "" for x in part.column(part.num_columns - 1)]
                 packed = [own.encode_packed(x) for x in texts]
                 for text, ids in zip(texts, packed, strict=True):
@@ -207,12 +210,14 @@ def _tokens(path: str, pattern: str):
 
 
 def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, checked by decoding them, in place of its text."""
+    """The ids of each document, checked by decoding them, in place of its text; all other columns stay, but for those named like
+    the new ones. Null and empty texts have no ids."""
     import public_tokenizers
 
-    kept = docs.select("doc_id", "lang", "source", "text")
-    schema = "doc_id bigint, lang string, source string, n_tokens bigint, ids array<int>, ids_sha256 string"
-    return kept.mapInArrow(common.lean(_tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)), schema)
+    added = {"n_tokens": "long", "ids": ArrayType(IntegerType()), "ids_sha256": "string"}
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text", *added)]
+    kept = docs.select(*others, F.col("text").alias(common.fresh("content", docs.columns)))
+    return common.map_rows(kept, _tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), drop=1, **added)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

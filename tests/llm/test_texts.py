@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from bytequarry.llm import bpe, common, html, labels, lm, quality, secrets, toxicity
 
@@ -293,6 +294,15 @@ def test_cache_is_bounded(reference, monkeypatch):
     assert len(own.young) <= 5 and len(own.old) <= 5
 
 
+def test_token_stage_keeps_other_columns(spark, documents, reference):
+    docs = documents([(1, "hello world"), (2, None), (1, ""), (None, "naïve " * 9000)]).withColumn("n_tokens", F.lit("mine")).withColumn("content", F.lit("c"))
+    out = bpe.stage_tokens(spark, docs, "")
+    assert out.columns == [c for c in docs.columns if c not in ("text", "n_tokens")] + ["n_tokens", "ids", "ids_sha256"]
+    got = {(r["doc_id"], r["n_chars"]): r["ids"] for r in out.collect()}
+    assert got == {(i, None if t is None else len(t)): reference.encode_ordinary(t or "") for i, t in ((1, "hello world"), (2, None), (1, ""), (None, "naïve " * 9000))}
+    assert {r["content"] for r in out.collect()} == {"c"} and bpe.stage_tokens(spark, docs.limit(0), "").count() == 0
+
+
 def test_byte_pair_table(documents, reference):
     rows = [(1, "hello world"), (2, None), (3, ""), (1, "again"), (None, "naïve")]
     docs = documents(rows)
