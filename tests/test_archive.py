@@ -123,6 +123,11 @@ def test_data_source(spark, table, tmp_path):
     path = str(tmp_path / "x")
     archive.pack(table, path, Options(recovery_percent=0))
     (tmp_path / "one.bin").write_bytes(archive.export(spark, path))
+    import pyarrow.fs
+
+    with pyarrow.fs.LocalFileSystem().open_input_file(str(tmp_path / "one.bin")) as f:
+        ranges = container.Ranges(f)
+        assert len(container.Archive(ranges).entries()) == 5 and ranges.taken < 700 < len(ranges)
     spark.dataSource.register(container.ContainerSource)
     listed = spark.read.format("byte_container").load(str(tmp_path / "*.bin"))
     assert {r["path"]: r["size"] for r in listed.collect()} == {p: len(c or b"") for p, c in CONTENTS.items()}
