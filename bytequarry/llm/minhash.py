@@ -37,7 +37,7 @@ UNIVERSE = 1 << 20
 BANDS, ROWS = 32, 5
 K = BANDS * ROWS
 SEED = 5
-FAMILY, SPREAD = 500_000, 4000
+FAMILY, SPREAD = 500_000, 1000
 """A family of n differing shingles is dealt out in the greater of n / FAMILY (which bounds a task's memory) and the root of
 n / SPREAD (which shares out the work of small ones) blocks."""
 SHARE = 500
