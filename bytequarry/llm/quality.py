@@ -37,6 +37,12 @@ class Net:
     out: np.ndarray  # 2 * FILTERS
     shift: np.ndarray  # 1
 
+    def taps(self) -> list[np.ndarray]:
+        """For each tap, activations by byte: what a step of training can afford to make anew."""
+        taps = [self.embed @ w for w in self.filters]
+        taps[0] = taps[0] + self.bias
+        return [np.ascontiguousarray(t, np.float32) for t in taps]
+
     def tables(self) -> list[np.ndarray]:
         """For each pair of taps, activations by byte pair."""
         taps = [self.embed @ w for w in self.filters]
@@ -84,6 +90,11 @@ def _grid(pieces: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray,
 
 def _conv(tables: list[np.ndarray], flat: np.ndarray) -> np.ndarray:
     n = len(flat) - WIDTH
+    if len(tables) == WIDTH:  # by single taps
+        out = tables[0].take(flat[:n], axis=0)
+        for j, t in enumerate(tables[1:], 1):
+            out += t.take(flat[j : j + n], axis=0)
+        return out
     pair = flat[:-1].astype(np.intp)
     pair <<= 8
     pair |= flat[1:]
@@ -160,7 +171,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Net:
         for b in range(0, len(order), BATCH):
             pick = order[b : b + BATCH]
             texts = [_crop(data[i], rng) if y_all[i] and rng.random() < CROP else data[i] for i in pick]
-            pooled, n, flat, where = _pool(net.tables(), texts, winners=True)
+            pooled, n, flat, where = _pool(net.taps(), texts, winners=True)
             chunk, first = _chunks(pooled, n)
             k = len(chunk)
             step = np.arange(k)[:, None] + (chunk > pooled)  # the step that won each chunk
