@@ -307,21 +307,37 @@ def chunks(df: DataFrame, id_col: str, text_col: str, limit: int, tag: str) -> D
     return spool(rows.mapInArrow(lean(_pack_chunks(limit)), "chunk bigint, blob binary"), tag)
 
 
-def by_key(run: Callable[[pa.Table], pa.Table], *keys: str) -> Callable:
-    """A mapInArrow function that applies run to each group of rows with equal keys that a partition holds: grouping for tables
-    that repartitionById has dealt out, one group to a partition, so that tasks do not grow with the corpus."""
+TASKS = 100_000
+"""Tasks of a step that the corpus's size numbers, at most; beyond it a task takes several groups, one after the other."""
+
+
+def grouped(df: DataFrame, groups: int, number: F.Column, keys: list[str], run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """run applied to each group of rows with equal keys. number, from 0 to groups - 1, deals each group to a task of its own
+    (up to TASKS), so that tasks do not grow with the corpus whatever the session's number of partitions."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[pa.RecordBatch]] = {}
+        held: list[pa.RecordBatch] = []
+        now = None
         for batch in batches:
             of = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
-            for key in set(of):
-                held.setdefault(key, []).append(batch.filter(pa.array([k == key for k in of])))
-        while held:
-            _, own = held.popitem()
-            yield from run(pa.Table.from_batches(own)).to_batches()
+            edges = [i for i in range(len(of)) if not i or of[i] != of[i - 1]]
+            for a, b in zip(edges, [*edges[1:], len(of)], strict=True):
+                if held and of[a] != now:
+                    yield from run(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                now = of[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
+    tasks = max(1, min(groups, TASKS))
+    dealt = df.repartitionById(tasks, F.pmod(number.cast("long"), F.lit(tasks)).cast("int"))
+    return dealt.sortWithinPartitions(*keys).mapInArrow(lean(mapped), schema)
+
 
-    return lean(mapped)
+def dealt_out(df: DataFrame, groups: int, key: str):
+    """df grouped by key for a cogroup, over twice as many tasks as there are groups (up to TASKS)."""
+    return df.repartition(max(1, min(2 * groups, TASKS)), key).groupBy(key)
 
 
 def open_chunk(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:

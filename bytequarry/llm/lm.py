@@ -148,10 +148,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     n_all, n_chunks = counted[0] or 0, counted[1]
     parts, bits = max(1, -(-n_all // PARTITION_WORDS)), hash_bits(n_all)
     sent = chunks.mapInArrow(common.lean(_send(parts, bits)), "order int, part int, chunk bigint, hashes binary, counts binary")
-    numbered = sent.repartitionById(ORDER * parts, ((F.col("order") - 1) * parts + F.col("part")).cast("int"))
-    answers = numbered.mapInArrow(common.by_key(_count, "order", "part"), "order int, part int, chunk bigint, counts binary")
-    dealt = lambda df: df.repartition(max(1, 2 * n_chunks), "chunk").groupBy("chunk")
-    return dealt(chunks).cogroup(dealt(answers)).applyInArrow(_score(n_all, bits), "id bigint, n_words bigint, log_sum double")
+    number = (F.col("order") - 1) * parts + F.col("part")
+    answers = common.grouped(sent, ORDER * parts, number, ["order", "part"], _count, "order int, part int, chunk bigint, counts binary")
+    deal = lambda df: common.dealt_out(df, n_chunks, "chunk")
+    return deal(chunks).cogroup(deal(answers)).applyInArrow(_score(n_all, bits), "id bigint, n_words bigint, log_sum double")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -477,8 +477,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n_bytes, n_chunks = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0, chunks.count()
     parts = max(1, -(-int(n_bytes) * 2 // (SPAN + 1) // PARTITION_ENTRIES))
     # Partitions are numbered and chunks dealt out by the corpus's size, not by the session's number of partitions.
-    answered = lambda sent, n, number: sent.repartitionById(n, number).mapInArrow(common.by_key(_answer, "kind", "part"), MESSAGE)
-    dealt = lambda df: df.repartition(max(1, 2 * n_chunks), "chunk").groupBy("chunk")
+    answered = lambda sent, n, number: common.grouped(sent, n, number, ["kind", "part"], _answer, MESSAGE)
+    dealt = lambda df: common.dealt_out(df, n_chunks, "chunk")
     sent = chunks.mapInArrow(common.lean(_send(parts)), MESSAGE)
     pairs = common.spool(answered(sent, parts, F.col("part")), "suffix-pairs")
     more = dealt(chunks).cogroup(dealt(pairs)).applyInArrow(_send_ends(parts), MESSAGE)
