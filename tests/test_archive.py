@@ -146,6 +146,25 @@ def test_chunk_store(spark, table, tmp_path):
     assert chunks.agg(F.sum("original_size")).first()[0] < sum(map(len, want.values()))
 
 
+def test_scan_of_many_small_files(spark, tmp_path):
+    """Opening a file counts little when files are dealt to tasks, and only empty ones are visited from Python."""
+    want = {f"{i % 3}/{i}.txt": b"x" * (i % 50) for i in range(600)}
+    for name, data in want.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    os.utime(tmp_path / "0/0.txt", (1_000_000, 1_000_000))
+    (tmp_path / "_hidden").write_bytes(b"")
+    shuffles, cost = (spark.conf.get(f"spark.sql.{k}") for k in ("shuffle.partitions", "files.openCostInBytes"))
+    found = files.scan(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 20
+    rows = found.select("path", "size", "content", "modified_at").collect()
+    assert {r["path"]: bytes(r["content"]) for r in rows} == want and len(rows) == len(want) and all(r["size"] == len(r["content"]) for r in rows)
+    assert {r["modified_at"] for r in rows if r["path"] == "0/0.txt"} == {1_000_000}
+    assert files.scan(spark, str(tmp_path), "1*.txt").count() == sum(1 for n, d in want.items() if n[2] == "1" and d)
+    assert found.groupBy("size").count().count() == 50
+    assert (shuffles, cost) == tuple(spark.conf.get(f"spark.sql.{k}") for k in ("shuffle.partitions", "files.openCostInBytes")) and found.sparkSession is spark
+
+
 @pytest.mark.parametrize("limit", [1, 2000, 1 << 20])
 def test_solid_blocks(spark, table, tmp_path, limit):
     stores.pack_solid(table, str(tmp_path / "x"), limit, partitions=1)
