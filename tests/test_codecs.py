@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import time
 import tracemalloc
 from collections import Counter
 
@@ -102,6 +103,27 @@ def test_tokens_take_little_memory():
     assert sizes == [len(coders.lz_parse(t)[0]) if t is not None else None for t in texts]
 
 
+@pytest.mark.parametrize("data", [b"ab" * 700, b"a" * 999, b"abcab" * 50 + b"c", bytes(range(256)) * 3, LOG * 9, b"x" + LOG * 2 + b"x", b"aab", b"ba", b"z"])
+def test_rotations_in_order_and_equal_ones_by_start(data):
+    assert transforms.rotations(data).tolist() == sorted(range(len(data)), key=lambda i: (data[i:] + data[:i], i))
+
+
+def test_best_of_a_solid_block_takes_little_time():
+    """Less time than plain loops over the bytes: against a yardstick of such loops on the same machine."""
+    rnd = random.Random(11)
+    words = [bytes(rnd.choices(b"abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(2, 9))) for _ in range(900)]
+    block = b" ".join(rnd.choice(words) for _ in range(11000))[: 1 << 16]
+    tournament.best(block[:5000])
+
+    def seconds(f):
+        start = time.thread_time()
+        f()
+        return time.thread_time() - start
+
+    yardstick = min(seconds(lambda: transforms.unpredict(block)) for _ in range(5))
+    assert min(seconds(lambda: tournament.best(block)) for _ in range(3)) < 16 * yardstick
+
+
 def test_window_edge():
     gap = bytes(random.Random(1).choices(range(128, 256), k=coders.WINDOW - 7))
     near, far = b"needle!" + gap + b"needle!", b"needle!" + gap + b"\x80" + b"needle!"
